@@ -168,9 +168,9 @@ def a11(spark, d):
     fx.sql(
         f"""SELECT key, {r('avg(change)', 6, 'recent_change')}, CASE WHEN avg(change) > 0.1 THEN 'Bullish' WHEN avg(change) < -0.1 THEN 'Bearish' ELSE 'Neutral' END AS momentum
         FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC) <= 7) GROUP BY key""",
+        "order_quotes",
         c=CHANGES.replace("FROM quotes", "FROM order_quotes"),
-        **{"order_quotes": fx.FIXTURE_SQL["order_quotes"][1]},
-    ).replace("WITH c AS", "WITH c AS"),
+    ),
 )
 def a12(spark, d):
     return rounded(explore.momentum_label(fx.order_quotes(spark, d), fx.QUOTE, "sell"), 6)
@@ -180,9 +180,9 @@ def a12(spark, d):
     "a14_histogram",
     fx.sql(
         f"""SELECT key, bin, {r('lo + w * bin', 4, '"from"')}, {r('lo + w * (bin + 1)', 4, '"to"')}, coalesce(c, 0) AS count,
-        {r('coalesce(c, 0) / (n * w)', 9, 'density')} FROM ends, (SELECT range AS bin FROM range(0, 30))
-        LEFT JOIN counted USING (key, bin)""",
+        {r('coalesce(c, 0) / (n * w)', 9, 'density')} FROM slots LEFT JOIN counted USING (key, bin)""",
         ends="SELECT l_returnflag AS key, min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 30 AS w, count(*) AS n FROM lineitem GROUP BY ALL",
+        slots="SELECT ends.*, range AS bin FROM ends, range(0, 30)",
         counted="""SELECT key, CAST(least(floor((l_extendedprice - lo) / w), 29) AS BIGINT) AS bin, count(*) AS c
         FROM lineitem JOIN ends ON l_returnflag = key GROUP BY ALL""",
     ),
