@@ -121,17 +121,19 @@ def forecast_recursive(
     """Multi-step forecast that feeds each step back, for any model on lag features.
 
     ``model`` adds ``y_pred`` to rows with ``lag_1`` .. ``lag_n``. All series advance together: the
-    table has one row per series, and the loop is over steps only.
+    table has one row per series, the loop is over steps only, and each step's table is written so
+    that the plan does not grow with the steps.
     """
-    state = latest_values(df, s, value, lags).withColumn("_path", F.array().cast("array<double>"))
+    state = settle(latest_values(df, s, value, lags), "state").withColumn("_path", F.array().cast("array<double>"))
     for _ in range(steps):
         seen = state.withColumns({f"lag_{k}": F.element_at("recent", k) for k in range(1, lags + 1)})
-        state = model(seen).select(
+        advanced = model(seen).select(
             *s.keys,
             s.ts,
             F.slice(F.concat(F.array("y_pred"), F.col("recent")), 1, lags).alias("recent"),
             F.concat("_path", F.array("y_pred")).alias("_path"),
         )
+        state = settle(advanced, "state")
     return _path_rows(state, s, df)
 
 

@@ -95,12 +95,12 @@ def _recursive_sql(source: str) -> str:
         (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC) <= 3) GROUP BY key HAVING count(*) = 3),
       walk AS (SELECT key, last, 0 AS step, v[1] AS p1, v[2] AS p2, v[3] AS p3 FROM three
         UNION ALL SELECT key, last, step + 1, 10.0 + 0.5 * p1 + 0.3 * p2 + 0.15 * p3, p1, p2 FROM walk WHERE step < 10)
-      SELECT key, step, CAST(CAST(last + step AS DATE) AS VARCHAR) AS ts, {r('p1', 4, 'y_pred')} FROM walk WHERE step > 0"""
+      SELECT key, step, CAST(CAST(last + step AS DATE) AS VARCHAR) AS ts, {r('p1', 2, 'y_pred')} FROM walk WHERE step > 0"""
 
 
 @query("f5_forecast_linear", _recursive_sql("supplier_quotes"))
 def f5(spark, d):
-    return rounded(fx.dated(fc.forecast_linear(fx.supplier_quotes(spark, d), fx.QUOTE, "sell", WEIGHTS, INTERCEPT, 10)), 4)
+    return rounded(fx.dated(fc.forecast_linear(fx.supplier_quotes(spark, d), fx.QUOTE, "sell", WEIGHTS, INTERCEPT, 10)), 2)
 
 
 def weighted(df):
@@ -111,7 +111,7 @@ def weighted(df):
 
 @query("f5_forecast_recursive", _recursive_sql("order_quotes"))
 def f5_recursive(spark, d):
-    return rounded(fx.dated(fc.forecast_recursive(weighted, fx.order_quotes(spark, d), fx.QUOTE, "sell", 3, 10)), 4)
+    return rounded(fx.dated(fc.forecast_recursive(weighted, fx.order_quotes(spark, d), fx.QUOTE, "sell", 3, 10)), 2)
 
 
 @query(
@@ -300,8 +300,8 @@ def e1(spark, d):
 @query(
     "e2_random_draws",
     fx.sql(
-        """SELECT run_id, [16, 32, 64][(('0x' || md5('42|' || run_id || '|batch')[1:8])::BIGINT % 3) + 1] AS batch,
-        [0.1, 0.2, 0.3, 0.4]::DOUBLE[][(('0x' || md5('42|' || run_id || '|dropout')[1:8])::BIGINT % 4) + 1] AS dropout
+        """SELECT run_id, list_value(16, 32, 64)[(('0x' || md5('42|' || run_id || '|batch')[1:8])::BIGINT % 3) + 1] AS batch,
+        list_value(0.1::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE, 0.4::DOUBLE)[(('0x' || md5('42|' || run_id || '|dropout')[1:8])::BIGINT % 4) + 1] AS dropout
         FROM (SELECT DISTINCT run_id FROM history)""",
         "history",
     ),
