@@ -174,18 +174,42 @@ def own_rows(laid: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Feature:
-    """Columns that need the ``back`` rows before each row. ``build(df, series)`` adds them."""
+    """Columns that need the ``back`` rows before each row. ``build(df, series)`` adds them.
+
+    ``rolls`` lists the rolling aggregates (column, fold, rows) the build reads through ``rolled``;
+    features that share one have it computed once.
+    """
 
     back: int
     build: Callable[[DataFrame, Series], DataFrame]
+    rolls: tuple[tuple[str, str, int], ...] = ()
+
+
+FOLDS = {"avg": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+
+
+def _roll_name(c: str, fold: str, n: int) -> str:
+    return f"_roll_{fold}_{n}_{c}"
+
+
+def rolled(c: str, fold: str, n: int) -> Column:
+    """A rolling aggregate over the last n rows, null until all n have a value."""
+    return F.col(_roll_name(c, fold, n))
 
 
 def add_features(df: DataFrame, s: Series, *features: Feature) -> DataFrame:
     """Add all features with one layout and one shuffle by (key, block)."""
     laid = with_blocks(df, s, max((f.back for f in features), default=0))
+    rolls = list(dict.fromkeys(roll for f in features for roll in f.rolls))
+    if rolls:
+        frames = {n: rows_back(s, n) for _, _, n in rolls}
+        complete = {(c, n): F.count(c).over(frames[n]) == n for c, _, n in rolls}
+        laid = laid.withColumns(
+            {_roll_name(c, fold, n): F.when(complete[c, n], FOLDS[fold](c).over(frames[n])) for c, fold, n in rolls}
+        )
     for f in features:
         laid = f.build(laid, s)
-    return own_rows(laid)
+    return own_rows(laid).drop(*[_roll_name(*roll) for roll in rolls])
 
 
 def rows_back(s: Series, n: int) -> WindowSpec:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import ratio
 from tickloom.operators import lags
-from tickloom.operators.blocks import Feature, Series, rows_back
+from tickloom.operators.blocks import Feature, Series, rolled, rows_back
 
 # Default window lengths, in rows.
 AVERAGE_PERIODS = (5, 10, 20, 50)
@@ -25,40 +25,27 @@ NEGLIGIBLE = 1e-18
 LARGEST_EXPONENT = 600.0
 
 
-class _Rolling:
-    """The last n rows of one column; results only where all n have a value."""
-
-    def __init__(self, c: str, n: int, s: Series):
-        self.c, self.frame = c, rows_back(s, n)
-        self.complete = F.count(c).over(self.frame) == n
-
-    def of(self, fold) -> Column:
-        return F.when(self.complete, fold(self.c).over(self.frame))
+def _from_rolls(c: str, names: dict[str, tuple[str, int]]) -> Feature:
+    """Columns that are rolling aggregates as they are: name -> (fold, rows)."""
+    rolls = tuple((c, fold, n) for fold, n in names.values())
+    return Feature(
+        max(n for _, n in names.values()) - 1,
+        lambda df, s: df.withColumns({name: rolled(c, fold, n) for name, (fold, n) in names.items()}),
+        rolls,
+    )
 
 
 def sma(c: str, periods: Sequence[int] = AVERAGE_PERIODS) -> Feature:
-    return Feature(
-        max(periods) - 1, lambda df, s: df.withColumns({f"sma_{n}": _Rolling(c, n, s).of(F.avg) for n in periods})
-    )
+    return _from_rolls(c, {f"sma_{n}": ("avg", n) for n in periods})
 
 
 def volatility(c: str, periods: Sequence[int] = STAT_PERIODS) -> Feature:
-    return Feature(
-        max(periods) - 1, lambda df, s: df.withColumns({f"volatility_{n}": _Rolling(c, n, s).of(F.stddev_samp) for n in periods})
-    )
+    return _from_rolls(c, {f"volatility_{n}": ("std", n) for n in periods})
 
 
 def rolling_stats(c: str, periods: Sequence[int] = STAT_PERIODS) -> Feature:
-    kinds = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-
-    def build(df: DataFrame, s: Series) -> DataFrame:
-        out = {}
-        for n in periods:
-            window = _Rolling(c, n, s)
-            out.update({f"rolling_{kind}_{n}": window.of(fold) for kind, fold in kinds.items()})
-        return df.withColumns(out)
-
-    return Feature(max(periods) - 1, build)
+    kinds = {"mean": "avg", "std": "std", "min": "min", "max": "max"}
+    return _from_rolls(c, {f"rolling_{kind}_{n}": (fold, n) for n in periods for kind, fold in kinds.items()})
 
 
 def price_position(c: str, periods: Sequence[int] = POSITION_PERIODS) -> Feature:
@@ -67,22 +54,20 @@ def price_position(c: str, periods: Sequence[int] = POSITION_PERIODS) -> Feature
     def build(df: DataFrame, s: Series) -> DataFrame:
         out = {}
         for n in periods:
-            window = _Rolling(c, n, s)
-            low = window.of(F.min)
-            out[f"price_position_{n}"] = ratio(F.col(c) - low, window.of(F.max) - low)
+            low, high = rolled(c, "min", n), rolled(c, "max", n)
+            out[f"price_position_{n}"] = ratio(F.col(c) - low, high - low)
         return df.withColumns(out)
 
-    return Feature(max(periods) - 1, build)
+    return Feature(max(periods) - 1, build, tuple((c, fold, n) for n in periods for fold in ("min", "max")))
 
 
 def bollinger(c: str, period: int = BAND_PERIOD, width: float = BAND_WIDTH) -> Feature:
     def build(df: DataFrame, s: Series) -> DataFrame:
-        window = _Rolling(c, period, s)
-        middle, std = window.of(F.avg), window.of(F.stddev_samp)
-        out = df.withColumns({"bollinger_upper": middle + std * width, "bollinger_lower": middle - std * width})
-        return out.withColumn("bollinger_width", F.col("bollinger_upper") - F.col("bollinger_lower"))
+        middle, reach = rolled(c, "avg", period), rolled(c, "std", period) * width
+        upper, lower = middle + reach, middle - reach
+        return df.withColumns({"bollinger_upper": upper, "bollinger_lower": lower, "bollinger_width": upper - lower})
 
-    return Feature(period - 1, build)
+    return Feature(period - 1, build, ((c, "avg", period), (c, "std", period)))
 
 
 def return_volatility(c: str, period: int = 30, name: str = "volatility") -> Feature:
@@ -90,7 +75,9 @@ def return_volatility(c: str, period: int = 30, name: str = "volatility") -> Fea
 
     def build(df: DataFrame, s: Series) -> DataFrame:
         changes = df.withColumn("_change", lags.change(c, 1, s.window()) * 100)
-        return changes.withColumn(name, _Rolling("_change", period, s).of(F.stddev_samp)).drop("_change")
+        frame = rows_back(s, period)
+        complete = F.count("_change").over(frame) == period
+        return changes.withColumn(name, F.when(complete, F.stddev_samp("_change").over(frame))).drop("_change")
 
     return Feature(period, build)
 

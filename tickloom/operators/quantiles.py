@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tickloom.operators.blocks import attach
 from tickloom.sources.session import settle
 
-ACCURACY = 100_000
+ACCURACY = 10_000
 
 
 def quantiles(
@@ -40,13 +40,16 @@ def quantiles(
     items = list(wanted.items())
     columns = sorted({c for c, _ in wanted.values()})
     sketch = []
-    for i, (_, (c, p)) in enumerate(items):
-        ends = F.percentile_approx(c, [max(p - margin, 0.0), min(p + margin, 1.0)], accuracy)
-        few = F.count(c) <= accuracy
-        sketch += [
-            F.when(few, F.min(c)).otherwise(ends[0]).alias(f"_lo{i}"),
-            F.when(few, F.max(c)).otherwise(ends[1]).alias(f"_hi{i}"),
-        ]
+    for c in columns:
+        # one sketch per column answers the bracket ends of all its quantiles
+        mine = [(i, p) for i, (_, (name, p)) in enumerate(items) if name == c]
+        points = [end for _, p in mine for end in (max(p - margin, 0.0), min(p + margin, 1.0))]
+        ends, few = F.percentile_approx(c, points, accuracy), F.count(c) <= accuracy
+        for at, (i, _) in enumerate(mine):
+            sketch += [
+                F.when(few, F.min(c)).otherwise(ends[2 * at]).alias(f"_lo{i}"),
+                F.when(few, F.max(c)).otherwise(ends[2 * at + 1]).alias(f"_hi{i}"),
+            ]
     counts = [F.count(c).alias(f"_n{j}") for j, c in enumerate(columns)]
     brackets = settle(df.groupBy(*keys).agg(*sketch, *counts), "brackets")
 
@@ -56,16 +59,27 @@ def quantiles(
         return df.groupBy(*keys).agg(*[F.percentile(c, p).alias(name) for name, (c, p) in items])
 
     rows = attach(df.select(*keys, *columns), brackets, keys)
-    marks = []
+    inside, below = [], []
     for i, (_, (c, _)) in enumerate(items):
-        x = F.col(c)
-        inside = F.when(x <= F.col(f"_hi{i}"), F.struct(F.lit(i).alias("i"), F.when(x >= F.col(f"_lo{i}"), x).alias("v")))
-        marks.append(inside)
+        x, low = F.col(c), F.col(f"_lo{i}")
+        inside.append(F.when(x.between(low, F.col(f"_hi{i}")), F.struct(F.lit(i).alias("i"), x.cast("double").alias("v"))))
+        below.append(F.count_if(x < low).alias(f"_b{i}"))
+    # most rows lie in no bracket and are only counted
+    near = F.lit(False)
+    for mark in inside:
+        near = near | mark.isNotNull()
     tallies = (
-        rows.select(*keys, F.explode(F.array_compact(F.array(*marks))).alias("m"))
+        rows.where(near)
+        .select(*keys, F.explode(F.array_compact(F.array(*inside))).alias("m"))
         .groupBy(*keys, F.col("m.i").alias("_i"), F.col("m.v").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
+    under = rows.groupBy(*keys).agg(*below)
+    counts = F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.lit(None).cast("double").alias("_v"), F.col(f"_b{i}").alias("_c"))
+        for i in range(len(items))
+    ])
+    tallies = tallies.unionByName(under.select(*keys, F.inline(counts)))
     # rows below a bracket carry a null value, which sorts first and so starts the running count
     up_to = (
         Window.partitionBy(*keys, "_i")

@@ -9,6 +9,7 @@ from tickloom.operators.blocks import Feature, Series, add_features, attach, num
 from tickloom.operators.cleaning import flag_outliers
 from tickloom.operators.metrics import P, Y, metrics
 from tickloom.operators.quantiles import quantiles
+from tickloom.sources.session import settle
 
 # Bounds of the labels.
 CLASSES = ("Excellent", "Very Good", "Good", "Fair", "Poor")
@@ -239,7 +240,11 @@ def recommend(report: DataFrame) -> DataFrame:
 
 
 def evaluation_report(df: DataFrame, s: Series) -> DataFrame:
-    """One row per series: metrics, residual statistics, labels and advice."""
+    """One row per series: metrics, residual statistics, labels and advice.
+
+    About eight passes read the forecasts, so they are written once, with the needed columns only.
+    """
+    df = settle(df.select(*s.keys, s.ts, *s.tie, Y, P), "forecasts")
     stats = normality(residual_stats(df, s)).drop("n", "mean", "std", "min", "max")
     outliers = residual_outlier_summary(df, s)
     scores = classify(metrics(df, s))
