@@ -61,7 +61,7 @@ def fill(
     if strategy == "drop":
         return df.dropna(subset=list(columns))
     if strategy == "mean":
-        means = df.groupBy(*s.keys).agg(*[F.avg(c).alias(f"_f_{c}") for c in columns])
+        means = settle(df.groupBy(*s.keys).agg(*[F.avg(c).alias(f"_f_{c}") for c in columns]), "means")
     elif strategy == "median":
         means = quantiles(df, s.keys, {f"_f_{c}": (c, 0.5) for c in columns})
     else:
@@ -108,9 +108,8 @@ def flag_outliers(
     elif method in ("zscore", "zscore_pop"):
         limit = Z_LIMIT if threshold is None else threshold
         deviation = F.stddev_samp if method == "zscore" else F.stddev_pop
-        stats = df.groupBy(*keys).agg(
-            *[a for c in columns for a in (F.avg(c).alias(f"_m_{c}"), deviation(c).alias(f"_d_{c}"))]
-        )
+        moments = [a for c in columns for a in (F.avg(c).alias(f"_m_{c}"), deviation(c).alias(f"_d_{c}"))]
+        stats = settle(df.groupBy(*keys).agg(*moments), "moments")
 
         def test(c: str) -> Column:
             return F.abs(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_d_{c}"))) > limit

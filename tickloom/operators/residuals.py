@@ -80,7 +80,7 @@ def spread_label(c: Column) -> Column:
 def standardised(df: DataFrame, s: Series) -> DataFrame:
     """Errors divided by their population deviation."""
     rows = with_errors(df)
-    stats = rows.groupBy(*s.keys).agg(F.stddev_pop(E).alias("_std"))
+    stats = settle(rows.groupBy(*s.keys).agg(F.stddev_pop(E).alias("_std")), "deviation")
     return attach(rows, stats, s.keys).withColumn("standardised", ratio(E, "_std")).drop("_std")
 
 
