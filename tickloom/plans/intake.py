@@ -9,7 +9,7 @@ from tickloom.operators.lags import add_spread
 from tickloom.plans import fixtures as fx
 from tickloom.plans.registry import query, r
 from tickloom.sources import readers, writers
-from tickloom.sources.session import new_path
+from tickloom.sources.session import new_path, settle
 
 PRICES = ["sell", "buy"]
 RAW_AS_QUOTE = {readers.ID: "id", readers.SELL: "sell", readers.BUY: "buy", readers.UPDATED: "ts"}
@@ -449,8 +449,8 @@ def c16(spark, d):
     ),
 )
 def v11(spark, d):
-    raw = typed(spark, d).where("ts is not null")
-    filled = cleaning.fill(cleaning.dedup_last(raw, fx.RAW), fx.RAW, PRICES)
+    raw = settle(typed(spark, d).where("ts is not null"), "raw")
+    filled = settle(cleaning.fill(cleaning.dedup_last(raw, fx.RAW), fx.RAW, PRICES), "filled")
     flagged = cleaning.flag_outliers(filled, ["key"], PRICES)
     cleaned = cleaning.replace_outliers(filled, fx.RAW, PRICES)
     return quality.cleaning_report(raw, cleaned, PRICES, ["key"], "ts", flagged)

@@ -50,6 +50,10 @@ METRIC_SQL = {
 }
 
 
+# single values or counts, equal in both engines as they are
+EXACT = ("n", "residual_min", "residual_max", "max_error", "target_min", "target_max")
+
+
 def _digits(name: str) -> int:
     return 2 if name in ("mse", "directional_loss") else 4
 
@@ -61,12 +65,12 @@ def _steps_sql(source: str, keys: str, order: str = "ts") -> str:
 
 
 def _metric_sql(names, keys: str) -> str:
-    shown = ", ".join(r(METRIC_SQL[n], _digits(n), n) if n != "n" else "count(*) AS n" for n in names)
+    shown = ", ".join(f"{METRIC_SQL[n]} AS {n}" if n in EXACT else r(METRIC_SQL[n], _digits(n), n) for n in names)
     return f"SELECT {keys}, {shown} FROM steps GROUP BY {keys}"
 
 
 def _rounded_metrics(df, names):
-    return df.withColumns({n: F.round(n, _digits(n)) for n in names if n != "n"})
+    return df.withColumns({n: F.round(n, _digits(n)) for n in names if n not in EXACT})
 
 
 def _metric_query(name: str, names, fixture: str = "models", keys: str = "model, key"):
