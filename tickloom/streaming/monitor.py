@@ -1,10 +1,12 @@
 """Streaming forms of the request windows, alert holds and absences."""
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -14,6 +16,9 @@ from tickloom.operators.monitor import ERROR_RATIO, SLIDE_S, VOLUME_HIGH, VOLUME
 
 WATERMARK = "10 minutes"
 
+# the processors below travel to the workers whole, so workers need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def windowed_requests(stream: DataFrame, keys=("job",), window_s: int = WINDOW_S, slide_s: int = SLIDE_S) -> DataFrame:
     """Rate, latency and error share per event-time window, emitted once the watermark has passed."""
