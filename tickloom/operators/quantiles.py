@@ -56,7 +56,11 @@ def quantiles(
     largest = brackets.agg(F.greatest(*[F.max(f"_n{j}") for j in range(len(columns))], F.lit(0))).first()[0]
     if largest <= accuracy:
         # every series is short enough for an aggregate that keeps its distinct values
-        return df.groupBy(*keys).agg(*[F.percentile(c, p).alias(name) for name, (c, p) in items])
+        shares = {c: [p for _, (name, p) in items if name == c] for c in columns}
+        listed = df.groupBy(*keys).agg(*[F.percentile(c, ps).alias(f"_all_{c}") for c, ps in shares.items()])
+        return listed.select(
+            *keys, *[F.col(f"_all_{c}")[shares[c].index(p)].alias(name) for name, (c, p) in items]
+        )
 
     rows = attach(df.select(*keys, *columns), brackets, keys)
     inside, below = [], []
