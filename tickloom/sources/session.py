@@ -1,6 +1,8 @@
-"""Session defaults and the shared folder for small settled tables."""
+"""Session defaults and the shared folder for settled tables."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,6 +16,7 @@ SESSION_CONF = {
     # recording a Python call site per column is slow for wide feature sets
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
+_local_folder: list[str] = []
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "tickloom") -> SparkSession:
@@ -30,16 +33,22 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "ti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
+    """Folder named by ``spark.checkpoint.dir``, which every executor can reach.
 
-    Every executor can reach it on a cluster. Only where the session names none
-    (tests, one machine) a fresh temporary folder is set, once per session.
+    Only a ``local[...]`` session, where driver and executors are one process, may leave it
+    unset: it gets a temporary folder that goes when the process ends. Elsewhere a missing setting is an
+    error, since each executor would write to its own disk. The caller's session is not changed.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="tickloom-"))
+        atexit.register(shutil.rmtree, _local_folder[0], ignore_errors=True)
+    return _local_folder[0]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -49,10 +58,9 @@ def new_path(spark: SparkSession, label: str) -> str:
 def settle(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once and read it back.
 
-    Meant for tables much smaller than the data (block layouts, per-series statistics). It
-    fixes the content against task retries, cuts the lineage, and lets the planner see the
+    It fixes the content against task retries, cuts the lineage, and lets the planner see the
     table's real size: Spark broadcasts it only under ``spark.sql.autoBroadcastJoinThreshold``
-    and otherwise joins by shuffle.
+    and otherwise joins by shuffle. Meant for tables that are read more than once.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
