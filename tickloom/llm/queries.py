@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, exact_dedup, line_dedup, sharding, simhash
+from tickloom.llm import decontaminate, exact_dedup, licenses, line_dedup, sharding, simhash, toxicity
 from tickloom.llm.common import hex_of, read
 
 QUERIES: dict = {}
@@ -48,6 +48,14 @@ def op1_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query()
+def op2_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query("""
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256 FROM documents
@@ -88,3 +96,33 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 def op9_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = line_dedup.dedup_lines(read(spark, d, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+def _spelled(c: str) -> str:
+    """SQL for a line of single-blank-separated words with common spellings; blanks are doubled so that neighbours both match."""
+    out = f"replace(' ' || {c} || ' ', ' ', '  ')"
+    for other, common in licenses.SPELLINGS.items():
+        out = f"replace({out}, ' {other} ', ' {common} ')"
+    return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
+
+
+def _known_sql() -> str:
+    known = {" ".join(filter(None, map(licenses.canonical_line, text.split("\n")))): licence for licence, text in licenses.known_texts()}
+    return ", ".join(f"('{text}', '{licence}')" for text, licence in known.items())
+
+
+@query(rf"""
+WITH known(canonical, licence) AS (VALUES {_known_sql()}),
+l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+w AS (SELECT doc_id, pos, trim(regexp_replace(lower(line), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS words FROM l
+  WHERE NOT regexp_matches(line, '(?i)^[^\p{{L}}\p{{N}}_]*(copyright|\(c\)|©|all rights reserved)')),
+c AS (SELECT doc_id, pos, {_spelled('words')} AS canonical FROM w WHERE words <> ''),
+t AS (SELECT doc_id, string_agg(canonical, ' ' ORDER BY pos) AS canonical FROM c GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS names FROM c JOIN known USING (canonical) GROUP BY doc_id)
+SELECT d.doc_id, k.licence, CAST(coalesce(n.n, 0) AS BIGINT) AS n_notices, coalesce(n.names, '') AS notice_licences
+FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN known k ON k.canonical = t.canonical LEFT JOIN n ON n.doc_id = d.doc_id
+""")
+def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    found = licenses.scan(read(spark, d, "documents"), licenses.known_digests(spark))
+    names = F.array_sort(F.array_distinct(F.transform("notices", lambda x: x["licence"])))
+    return found.select("doc_id", "licence", F.size("notices").cast("long").alias("n_notices"), F.concat_ws(",", names).alias("notice_licences"))
