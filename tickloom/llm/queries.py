@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, exact_dedup, html_extract, licenses, line_dedup, sharding, simhash, toxicity
+from tickloom.llm import decontaminate, exact_dedup, html_extract, language_model, licenses, line_dedup, sharding, simhash, toxicity
 from tickloom.llm.common import hex_of, read
 
 QUERIES: dict = {}
@@ -75,6 +75,15 @@ def op6_html_extract(spark: SparkSession, d: str) -> DataFrame:
     return html_extract.extract(read(spark, d, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+@query()
+def op7_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    learned = docs.where(~language_model.held_out())
+    counts = language_model.count_words(learned)
+    scored = language_model.score(docs, counts, language_model.train(learned, counts))
+    return scored.withColumn("held_out", language_model.held_out())
+
+
 @query()
 def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
