@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, exact_dedup, html_extract, language_model, licenses, line_dedup, sharding, simhash, toxicity
+from tickloom.llm import decontaminate, exact_dedup, html_extract, language_model, licenses, line_dedup, sentencepiece_lattice, sharding, simhash, toxicity
 from tickloom.llm.common import hex_of, read
 
 QUERIES: dict = {}
@@ -70,6 +70,11 @@ def op4_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query()
+def op5_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    return sentencepiece_lattice.round_trip(spark, read(spark, d, "documents"))
+
+
 @query()
 def op6_html_extract(spark: SparkSession, d: str) -> DataFrame:
     return html_extract.extract(read(spark, d, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
