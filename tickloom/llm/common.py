@@ -5,7 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task looks at together in numpy; a longer text is looked at alone.
@@ -115,23 +115,26 @@ def content_key(docs: DataFrame, text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("_th")
 
 
-def same(a: DataFrame, b: DataFrame, *columns: str) -> Column:
-    """Equality of the columns, null equal to null."""
-    on = a[columns[0]].eqNullSafe(b[columns[0]])
-    for c in columns[1:]:
-        on = on & a[c].eqNullSafe(b[c])
-    return on
-
-
 def id_part(parts: int, column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id has part 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts)), F.lit(0)).cast("int")
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front of those that ``df`` has already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def hex_of(c: Column) -> Column:
     """A long as 16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(c), 16, "0"))
 
 
-def read(spark, folder: str, table: str) -> DataFrame:
+def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")

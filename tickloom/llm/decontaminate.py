@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Words, alphanumeric, content_key, lower_ascii, mixed, same, text_slices
+from tickloom.llm.common import Words, alphanumeric, content_key, lower_ascii, mixed, spare, text_slices
 from tickloom.sources.session import settle
 
 WINDOW = 10
@@ -178,7 +178,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 
 def clean_only(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without any benchmark window."""
-    bad = decontaminate(docs, items, window).where("n_hit > 0").select("doc_id", "_th").distinct()
-    keyed = docs.withColumn("_th", content_key(docs))
-    return keyed.join(bad, same(keyed, bad, "doc_id", "_th"), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without any benchmark window, all columns as they are."""
+    bad = decontaminate(docs, items, window).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("_th").alias("_t")).distinct()
+    (key,) = spare(docs, "_th")
+    keyed = docs.withColumn(key, content_key(docs))
+    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["_id"]) & (keyed[key] == bad["_t"]), "left_anti").select(*docs.columns)

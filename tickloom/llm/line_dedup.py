@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import spare
 from tickloom.sources.session import settle
 
 LEAST_CHARS = 40
@@ -36,11 +37,11 @@ def _hashed(least_chars: int):
     return run
 
 
-def _rebuilt(least_chars: int):
+def _rebuilt(least_chars: int, drop_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lines, gone = [], [], []
-            for text, drop in zip(batch.column("text").cast(pa.large_binary()), batch.column("_drop"), strict=True):
+            for text, drop in zip(batch.column("text").cast(pa.large_binary()), batch.column(drop_name), strict=True):
                 parts = (text.as_py() or b"").split(b"\n")
                 drop = drop.as_py()
                 kept = parts
@@ -50,7 +51,7 @@ def _rebuilt(least_chars: int):
                 texts.append(b"\n".join(kept))
                 lines.append(len(parts))
                 gone.append(len(parts) - len(kept))
-            names = [n for n in batch.schema.names if n not in ("text", "_drop")]
+            names = [n for n in batch.schema.names if n not in ("text", drop_name, "_n_lines", "_n_dropped")]
             arrays = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(
                 [*arrays, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())],
@@ -70,15 +71,16 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     Lines become 16-byte hashes at once, one per key and row; hashes are counted with partial sums, and only
     those over the limit meet the documents again. Null and empty texts are one empty line (and come out
     empty). Each row is a document of its own, repeated rows too; rows with a null ``doc_id`` keep a line only
-    if no row with an id holds it. Other columns pass unchanged, an empty table gives an empty table.
+    if no row with an id holds it. Other columns pass unchanged (but for ones named like the two results), an empty table gives an empty table.
     """
     ids = docs.schema["doc_id"].dataType.simpleString()
     keys = docs.select("doc_id", "text").mapInArrow(_hashed(least_chars), f"doc_id {ids}, key binary")
     counted = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("stays"))
     shared = settle(counted.where(F.col("n") >= least_docs).select("key", "stays"), "shared-lines")
     hits = keys.join(shared, "key").where(~F.col("doc_id").eqNullSafe(F.col("stays")))
-    drops = hits.groupBy("doc_id").agg(F.collect_set("key").alias("_drop")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_id"]), "left").drop("_id")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
+    to, drop = spare(docs, "_to", "_drop")
+    drops = hits.groupBy(F.col("doc_id").alias(to)).agg(F.collect_set("key").alias(drop))
+    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops[to]), "left").drop(to)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("text", "_n_lines", "_n_dropped")]
     schema = ", ".join([*fields, "text string", "_n_lines long", "_n_dropped long"])
-    return joined.mapInArrow(_rebuilt(least_chars), schema)
+    return joined.mapInArrow(_rebuilt(least_chars, drop), schema)

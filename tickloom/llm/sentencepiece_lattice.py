@@ -230,8 +230,9 @@ def encode(docs: DataFrame, pieces: Pieces, block_words: int = BLOCK_WORDS, bloc
     The text is normalised as the model family does: a blank in front, blanks as U+2581, nothing else changed.
     The result is the best path by the pieces' scores; characters without a piece are spelled in byte pieces where the
     model has them, and are the unknown piece otherwise. Null and empty texts have no ids. Repeated rows are encoded each,
-    other columns pass unchanged, an empty table gives an empty table.
+    other columns pass unchanged but for ones named block, codes, text_sha256 or ids, an empty table gives an empty table.
     """
+    docs = docs.drop("block", "codes", "text_sha256", "ids")
     carried = [c for c in docs.columns if c != "text"]
     pattern = word_pattern(pieces)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")

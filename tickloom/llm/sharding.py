@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import spare
 from tickloom.sources.session import settle
 
 SHARDS = 8
@@ -78,7 +79,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     The size of a row is the UTF-8 length of ``text`` plus 1, a null text has length 0. Equal texts share a
     shard, null counts as equal to empty. With fewer groups than shards the last shards stay empty; an empty table gives an
     empty table. Slots follow a hash of ``doc_id``, then the id and text, so they don't depend on the
-    partitioning; repeated rows get adjacent slots. All columns pass unchanged.
+    partitioning; repeated rows get adjacent slots. All columns pass unchanged, but for ones named like the four results.
     """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     sized = docs.withColumns({"_digest": F.sha2(body, 256), "_size": (F.octet_length(body) + 1).cast("long")})
@@ -91,11 +92,13 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     number = F.lit(len(ends) - 1)
     for digest in reversed(ends[:-1]):
         number = F.when(F.col("_digest") <= digest, place[digest]).otherwise(number)
-    cell = F.pmod(F.xxhash64("doc_id", "_digest"), F.lit(CELLS)).cast("int")
-    placed = sized.withColumns({"_shard": number.cast("int"), "_cell": cell})
-    counts = placed.groupBy("_shard", "_cell").agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.partitionBy("_shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # over 4096 rows at most
-    before = counts.select("_shard", "_cell", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_before"))
-    order = Window.partitionBy("_shard", "_cell").orderBy("doc_id", "_digest")
-    numbered = placed.withColumn("_at", F.row_number().over(order)).join(before, ["_shard", "_cell"])
-    return numbered.select(*docs.columns, "_digest", "_size", "_shard", (F.col("_before") + F.col("_at") - 1).alias("_slot"))
+    cell, at, before = spare(docs, "_cell", "_at", "_before")
+    placed = sized.withColumns({"_shard": number.cast("int"), cell: F.pmod(F.xxhash64("doc_id", "_digest"), F.lit(CELLS)).cast("int")})
+    counts = placed.groupBy("_shard", cell).agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("_shard").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)  # over 4096 rows at most
+    offsets = counts.select("_shard", cell, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(before))
+    order = Window.partitionBy("_shard", cell).orderBy("doc_id", "_digest")
+    numbered = placed.withColumn(at, F.row_number().over(order)).join(offsets, ["_shard", cell])
+    own = ("_digest", "_size", "_shard", "_slot")
+    passed = [c for c in docs.columns if c not in own]
+    return numbered.select(*passed, *own[:3], (F.col(before) + F.col(at) - 1).alias("_slot"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import content_key, same
+from tickloom.llm.common import content_key, spare
 from tickloom.llm.components import components
 from tickloom.sources.session import settle
 
@@ -129,7 +129,8 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     """
     found = near_duplicates(docs, shingle, radius)
     stays = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_th")).alias("k"))
-    stays = stays.select(F.col("k.doc_id").alias("doc_id"), F.col("k._th").alias("_th"))
-    keyed = docs.withColumn("_th", content_key(docs))
-    kept = keyed.join(stays, same(keyed, stays, "doc_id", "_th"), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
+    stays = stays.select(F.col("k.doc_id").alias("_id"), F.col("k._th").alias("_t"))
+    (key,) = spare(docs, "_th")
+    keyed = docs.withColumn(key, content_key(docs))
+    kept = keyed.join(stays, keyed["doc_id"].eqNullSafe(stays["_id"]) & (keyed[key] == stays["_t"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).select(*docs.columns)
