@@ -19,8 +19,10 @@ from tickloom.llm.common import Words, alphanumeric, id_part, lower_ascii, mixed
 THRESHOLD = 0.3
 #: Labelled rows that a model is fitted on at most: those with the least hash of their id.
 SAMPLE_ROWS = 20_000
-#: Features of a model at most, and the least chi-square with the label of a feature that may be one.
+#: Features of a model at most; the least number and share of toxic texts that have one, and its least chi-square with the label.
 FEATURES = 4_096
+LEAST_TEXTS = 3
+LEAST_SHARE = 0.003
 LEAST_CHI2 = 20.0
 #: Bytes of a word's beginnings that are features beside the word.
 STEMS = (3, 4, 5, 6)
@@ -100,20 +102,18 @@ def swapped(text: str, by: int) -> str | None:
     return " ".join(out) if changed else None
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, toxic, clean): labelled texts of a batch that have the feature."""
-    for batch in batches:
-        label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-        seen, toxic = [], []
-        for i, found in enumerate(_of_texts([t or "" for t in batch.column("text").to_pylist()])):
-            seen.append(found)
-            toxic.append(np.full(len(found), label[i]))
-        if not seen:
-            continue
-        feature, back = np.unique(np.concatenate(seen), return_inverse=True)
-        bad = np.bincount(back, np.concatenate(toxic), len(feature)).astype(np.int64)
-        every = np.bincount(back, minlength=len(feature))
-        yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), pa.array(bad), pa.array(every - bad)], ["feature", "toxic", "clean"])
+def _counted(among: np.ndarray | None = None):
+    """(feature, n): texts of a batch that have the feature; only of features ``among``, if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = _of_texts([t or "" for t in batch.column("text").to_pylist()])
+            if among is not None:
+                seen = [np.intersect1d(found, among, assume_unique=True) for found in seen]
+            feature, n = np.unique(np.concatenate([np.empty(0, np.uint64), *seen]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), pa.array(n)], ["feature", "n"])
+
+    return run
 
 
 def _reduced(chosen: np.ndarray):
@@ -173,21 +173,29 @@ def _fit(labels: np.ndarray, own: list, copies: list, n: int) -> tuple[np.ndarra
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on ``labels`` (doc_id, toxic) and their texts, on the ``sample_rows`` with the least hash of the id at most.
 
-    Rows with a null label or id are left out; of several labels of an id the larger counts. Without any
+    Rows with a null label or id are left out; of several labels of an id the larger counts; a label is 0 or 1. Without any
     labelled text the model has no features and a low constant score. Features come from counts over the sample, and
     the driver gets only the chosen features and the sample's indices into them.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")  # sample_rows rows of two numbers
-    counts = rows.mapInArrow(_counted, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     totals = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     n, bad = totals[0], totals[1] or 0
-    seen = F.col("a") + F.col("b")
-    spread = F.lit(float(bad) * (n - bad)) * seen * (n - seen)
-    chi2 = F.try_divide(n * F.pow(F.col("a") * (n - bad) - F.col("b") * bad, 2), spread)
-    ranked = counts.where(chi2 >= LEAST_CHI2).orderBy(F.desc(chi2), "feature").limit(FEATURES).select("feature").collect()
-    chosen = np.unique(np.concatenate([np.array([r[0] for r in ranked], np.int64).view(np.uint64), group_features()]))
+
+    def counts(label: int, among: np.ndarray | None, least: float) -> dict[int, int]:
+        found = rows.where(F.col("toxic") == label).select("text").mapInArrow(_counted(among), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+        return dict(map(tuple, found.where(F.col("n") >= least).collect()))
+
+    # no text has many features, so few can be in LEAST_SHARE of the toxic texts, however many there are
+    toxic = counts(1, None, max(LEAST_TEXTS, LEAST_SHARE * bad))
+    feature = np.sort(np.array(list(toxic), np.int64).view(np.uint64))
+    clean = counts(0, feature, 1)
+    names = feature.view(np.int64).tolist()
+    a, b = np.array([toxic[f] for f in names], float), np.array([clean.get(f, 0) for f in names], float)
+    chi2 = n * (a * (n - bad) - b * bad) ** 2 / np.maximum(float(bad) * (n - bad) * (a + b) * (n - a - b), 1e-9)
+    best = np.lexsort((feature, -chi2))[:FEATURES]
+    chosen = np.unique(np.concatenate([feature[best[chi2[best] >= LEAST_CHI2]], group_features()]))
     kept = rows.mapInArrow(_reduced(chosen), "toxic int, own array<int>, copies array<array<int>>").collect()  # sample_rows at most
     kept.sort(key=lambda r: (r[0], r[1]))  # so that sums don't depend on the order of tasks
     weights, bias = _fit(np.array([r[0] for r in kept], float), [r[1] for r in kept], [r[2] for r in kept], len(chosen))
