@@ -2,8 +2,9 @@
 
 Words are exploded into substrings of bounded length, which meet the piece table in an equi-join; the pieces found
 are the edges of the word's lattice, grouped by word, and the best path is folded over them with a higher-order
-aggregate. Documents are dealt into blocks of some thousand: words are solved once per block, and the block's documents, kept as word
-numbers, are put together from the block's words. A block is bounded, so a frequent word loads no task.
+aggregate. Texts are first cut wherever no piece has the two characters around the cut, so that words are short and recur.
+Documents are dealt into blocks of some thousand and kept as word numbers. Each different word is solved once; its path
+goes to the blocks that have it, once to each, and the documents are put together there. A block is bounded, so a frequent word loads no task.
 """
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ SPACE = "▁"
 #: A block ends when it has so many different words, or so many bytes of text.
 BLOCK_WORDS = 1 << 19
 BLOCK_BYTES = 1 << 26
+#: Tasks that solve words, per shuffle partition of the session.
+SOLVING_TASKS = 8
 #: Fixed values of the model format: kinds of pieces, and what an unknown character costs beyond the worst piece.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_COST = 10.0
@@ -102,38 +106,97 @@ def word_pattern(pieces: Pieces) -> re.Pattern:
     return re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
-def _dealt(pattern: re.Pattern, block_words: int, block_bytes: int, words: bool):
-    """The words of each block (block, code, word), or its documents (block, ..., codes): both runs cut blocks alike."""
+def inner_pairs(pieces: Pieces) -> frozenset[str]:
+    """Pairs of neighbours inside pieces; no path has an edge across any other pair."""
+    usable = [t for t, k in zip(pieces.text, pieces.kind, strict=True) if k in (NORMAL, USER_DEFINED)]
+    return frozenset(t[i : i + 2] for t in usable for i in range(len(t) - 1))
+
+
+class _Numbers(dict):
+    """Numbers of the words of a block, by the stretch of text that the word pattern found."""
+
+    def __init__(self, pairs: frozenset[str]) -> None:
+        self.pairs, self.words = pairs, {}
+
+    def __missing__(self, found: str) -> tuple[int, ...]:
+        cuts = [i for i in range(1, len(found)) if found[i - 1 : i + 1] not in self.pairs]
+        parts = [found[a:b] for a, b in zip([0, *cuts], [*cuts, len(found)], strict=True)]
+        out = self[found] = tuple(self.words.setdefault(w, len(self.words)) for w in parts)
+        return out
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Seven bits a byte, lowest first, the top bit set on all but a number's last byte."""
+    x = x.astype(np.uint64)
+    size = 1 + sum((x >> np.uint64(7 * i) > 0).astype(np.int64) for i in range(1, 5))
+    out = np.empty(int(size.sum()), np.uint8)
+    start = np.cumsum(size) - size
+    for i in range(int(size.max(initial=0))):
+        has = size > i
+        out[start[has] + i] = (x[has] >> np.uint64(7 * i) & np.uint64(0x7F)).astype(np.uint8) | ((size[has] > i + 1) << 7).astype(np.uint8)
+    return out.tobytes()
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    last = np.flatnonzero(raw < 0x80)
+    start = np.r_[0, last[:-1] + 1][: len(last)]
+    out = np.zeros(len(last), np.int64)
+    for i in range(int((last - start).max(initial=-1)) + 1):
+        has = last - start >= i
+        out[has] |= (raw[start[has] + i].astype(np.int64) & 0x7F) << (7 * i)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, serial = TaskContext.get().partitionId(), 0
-        numbers: dict[str, int] = {}
-        size = 0
 
-        def dictionary() -> pa.RecordBatch:
-            n = len(numbers)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, task << 32 | serial)), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(numbers), pa.string())], ["block", "code", "word"])
+def _dealt(pieces: Pieces, block_words: int, block_bytes: int, words: bool):
+    """The words of each block (block, code, word), or its documents (block, ..., codes).
+
+    Words are numbered by how often the block has them, so that most numbers are short. Both runs cut blocks alike.
+    """
+    pattern, pairs = word_pattern(pieces), inner_pairs(pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, serial, size = TaskContext.get().partitionId(), 0, 0
+        numbers = _Numbers(pairs)
+        held: list[np.ndarray] = []  # the texts of the block that still wait for its numbers
+        rows: list[pa.RecordBatch] = []
+        digests: list[str] = []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            nonlocal numbers, held, rows, digests, serial, size
+            block = task << 32 | serial
+            flat = np.concatenate(held) if held else np.empty(0, np.uint32)
+            order = np.argsort(-np.bincount(flat, minlength=len(numbers.words)), kind="stable")
+            if words:
+                ranked = pa.array(list(numbers.words), pa.string()).take(pa.array(order))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), block)), pa.array(np.arange(len(order), dtype=np.int32)), ranked], ["block", "code", "word"])
+            else:
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                done = 0
+                for batch in rows:
+                    part = slice(done, done + batch.num_rows)
+                    done += batch.num_rows
+                    codes = pa.array([pack_numbers(rank[x]) for x in held[part]], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, block)), *batch.columns, codes, pa.array(digests[part], pa.string())], ["block", *batch.schema.names, "codes", "text_sha256"])
+            numbers, held, rows, digests, serial, size = _Numbers(pairs), [], [], [], serial + 1, 0
 
         for batch in batches:
-            blocks, codes, digests = [], [], []
-            for text in batch.column("text").to_pylist():
+            first = 0
+            carried = batch.select([n for n in batch.schema.names if n != "text"])
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 text = text or ""
-                if numbers and (len(numbers) >= block_words or size >= block_bytes):
-                    if words:
-                        yield dictionary()
-                    numbers, size, serial = {}, 0, serial + 1
+                if size and (len(numbers.words) >= block_words or size >= block_bytes):
+                    rows.append(carried.slice(first, i - first))
+                    first = i
+                    yield from ended()
                 found = pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
-                own = [numbers.setdefault(w, len(numbers)) for w in found]
+                held.append(np.fromiter(chain.from_iterable(map(numbers.__getitem__, found)), np.uint32))
+                digests.append("" if words else hashlib.sha256(text.encode()).hexdigest())
                 size += len(text)
-                if not words:
-                    blocks.append(task << 32 | serial)
-                    codes.append(np.array(own, np.uint32).tobytes())
-                    digests.append(hashlib.sha256(text.encode()).hexdigest())
-            if not words:
-                names = [n for n in batch.schema.names if n != "text"]
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *(batch.column(n) for n in names), pa.array(codes, pa.binary()), pa.array(digests)], ["block", *names, "codes", "text_sha256"])
-        if words and numbers:
-            yield dictionary()
+            rows.append(carried.slice(first))
+        if held:
+            yield from ended()
 
     return run
 
@@ -201,9 +264,8 @@ def _assembled(pieces: Pieces, carried: list[str]):
         return [byte_ids[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")] if byte_ids else [unknown]
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        path = words.column("path").combine_chunks()
-        ids = path.flatten().to_numpy()
-        sizes = np.diff(path.offsets.to_numpy()).astype(np.int64)
+        paths = words.sort_by("code").column("path").combine_chunks()
+        ids, sizes = paths.flatten().to_numpy().astype(np.int64), np.diff(paths.offsets.to_numpy()).astype(np.int64)
         if (ids < 0).any():
             each = {int(i): spelled(int(i)) for i in np.unique(ids[ids < 0])}
             more = np.ones(len(ids), np.int64)
@@ -213,11 +275,9 @@ def _assembled(pieces: Pieces, carried: list[str]):
             out[np.repeat(ids < 0, more)] = [b for i in ids[ids < 0].tolist() for b in each[i]]
             ids, sizes = out, np.bincount(owner, more, len(sizes)).astype(np.int64)
         starts = np.cumsum(sizes) - sizes
-        place = np.empty(len(sizes), np.int64)
-        place[words.column("code").to_numpy()] = np.arange(len(sizes))
         lists = []
         for codes in docs.column("codes").to_pylist():
-            at = place[np.frombuffer(codes, np.uint32)]
+            at = unpack_numbers(codes)
             lists.append(ids[_spans(starts[at], sizes[at])].astype(np.int32))
         return pa.Table.from_arrays([*(docs.column(c) for c in carried), docs.column("text_sha256"), pa.array(lists, pa.list_(pa.int32()))], [*carried, "text_sha256", "ids"])
 
@@ -234,13 +294,18 @@ def encode(docs: DataFrame, pieces: Pieces, block_words: int = BLOCK_WORDS, bloc
     """
     docs = docs.drop("block", "codes", "text_sha256", "ids")
     carried = [c for c in docs.columns if c != "text"]
-    pattern = word_pattern(pieces)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
     # both runs read the same rows in the same order, so a lost task cuts its blocks as before
-    words = docs.select("text").mapInArrow(_dealt(pattern, block_words, block_bytes, True), "block long, code int, word string")
-    coded = docs.mapInArrow(_dealt(pattern, block_words, block_bytes, False), f"block long, {fields}codes binary, text_sha256 string")
-    solved = solve_words(words.repartition("block"), pieces, "block", "code")
-    return coded.groupBy("block").cogroup(solved.groupBy("block")).applyInArrow(_assembled(pieces, carried), f"{fields}text_sha256 string, ids array<int>")
+    words = docs.select("text").mapInArrow(_dealt(pieces, block_words, block_bytes, True), "block long, code int, word string")
+    coded = docs.mapInArrow(_dealt(pieces, block_words, block_bytes, False), f"block long, {fields}codes binary, text_sha256 string")
+    # a word makes some twenty edges: many tasks, so that each sorts its edges in memory; lattices and paths stay where their words are
+    tasks = SOLVING_TASKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = words.repartition(tasks, "word")
+    # a word is known by its least place, so both uses of the words need the same columns and share their shuffle
+    each = placed.groupBy("word").agg(F.min(F.struct("block", "code")).alias("place"))
+    solved = solve_words(each, pieces, "word", "place").select("word", "path")
+    paths = placed.join(solved.hint("merge"), "word").select("block", "code", "path")
+    return coded.groupBy("block").cogroup(paths.groupBy("block")).applyInArrow(_assembled(pieces, carried), f"{fields}text_sha256 string, ids array<int>")
 
 
 def decode_ids(ids: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> bytes:
