@@ -150,7 +150,7 @@ def _path_lengths(sample: np.ndarray, rng: np.random.Generator) -> tuple[np.ndar
 def _isolation_flags(df: DataFrame, columns: Sequence[str], contamination: float) -> DataFrame:
     """Isolation forest per column over the whole table.
 
-    The forest grows from a sample of fixed size (100 trees x 256 values, picked by hash), so what
+    The forest grows from a sample of fixed size (100 trees x 256 values, picked by a hash of the whole row), so what
     is broadcast does not grow with the data; every row is scored where it lies.
     """
     spark = df.sparkSession
@@ -158,8 +158,8 @@ def _isolation_flags(df: DataFrame, columns: Sequence[str], contamination: float
     for c in columns:
         picked = (
             df.where(F.col(c).isNotNull())
-            .select(F.col(c).cast("double").alias("v"))
-            .orderBy(F.xxhash64("v", F.lit(FOREST_SEED)), "v")
+            .select(F.col(c).cast("double").alias("v"), F.xxhash64(F.lit(FOREST_SEED), *df.columns).alias("_at"))
+            .orderBy("_at", "v")
             .limit(TREES * TREE_ROWS)
             .toPandas()["v"]
             .to_numpy()

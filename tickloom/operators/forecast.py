@@ -107,12 +107,12 @@ def predict_next(model: PipelineModel, df: DataFrame, s: Series, features: Seque
 
 
 def latest_values(df: DataFrame, s: Series, value: str, n: int) -> DataFrame:
-    """The last n values of each series, newest first, as an array."""
+    """The last n values of each series, newest first, as an array; a shorter series gives a shorter array."""
     recent = tail(df.select(*s.keys, s.ts, *s.tie, value), s, n)
     order = F.sort_array(F.collect_list(F.struct(s.ts, *s.tie, value)), asc=False)
     grouped = recent.groupBy(*s.keys).agg(order.alias("_rows"), F.max(s.ts).alias(s.ts))
     values = F.transform("_rows", lambda x: x[value].cast("double"))
-    return grouped.select(*s.keys, s.ts, values.alias("recent")).where(F.size("recent") == n)
+    return grouped.select(*s.keys, s.ts, values.alias("recent"))
 
 
 def forecast_recursive(
@@ -120,18 +120,19 @@ def forecast_recursive(
 ) -> DataFrame:
     """Multi-step forecast that feeds each step back, for any model on lag features.
 
-    ``model`` adds ``y_pred`` to rows with ``lag_1`` .. ``lag_n``. All series advance together: the
+    ``model`` adds ``y_pred`` to rows with ``lag_1`` .. ``lag_n``; a series shorter than the lags gets its steps
+    with null forecasts. All series advance together: the
     table has one row per series, the loop is over steps only, and each step's table is written so
     that the plan does not grow with the steps.
     """
     state = settle(latest_values(df, s, value, lags), "state").withColumn("_path", F.array().cast("array<double>"))
     for _ in range(steps):
-        seen = state.withColumns({f"lag_{k}": F.element_at("recent", k) for k in range(1, lags + 1)})
+        seen = state.withColumns({f"lag_{k}": F.get("recent", k - 1) for k in range(1, lags + 1)})
         advanced = model(seen).select(
             *s.keys,
             s.ts,
-            F.slice(F.concat(F.array("y_pred"), F.col("recent")), 1, lags).alias("recent"),
-            F.concat("_path", F.array("y_pred")).alias("_path"),
+            F.when(F.size("recent") < lags, F.col("recent")).otherwise(F.slice(F.concat(F.array("y_pred"), F.col("recent")), 1, lags)).alias("recent"),
+            F.concat("_path", F.array(F.when(F.size("recent") == lags, F.col("y_pred")))).alias("_path"),
         )
         state = settle(advanced, "state")
     return _path_rows(state, s, df)
@@ -233,11 +234,15 @@ def apply_scenarios(df: DataFrame, scenarios: Mapping[str, Mapping[str, Change]]
     return out.select("scenario", *[F.col(f"_{c}").alias(c) if c in touched else F.col(c) for c in df.columns])
 
 
+#: Changes in percent that count as none: sums in another order differ by less.
+FLAT_PCT = 1e-9
+
+
 def scenario_delta(scenarios: DataFrame, base: DataFrame, keys: Sequence[str], value: str = "y_pred") -> DataFrame:
-    """Change of each scenario's forecast against the base in percent, and its direction."""
+    """Change of each scenario's forecast against the base in percent, and its direction (flat up to ``FLAT_PCT``)."""
     known = base.select(*keys, F.col(value).alias("base"))
     out = attach(scenarios, known, keys).withColumn("delta_pct", ratio(F.col(value) - F.col("base"), "base") * 100)
-    return out.withColumn("impact", F.when(F.col("delta_pct") > 0, "up").when(F.col("delta_pct") < 0, "down").otherwise("flat"))
+    return out.withColumn("impact", F.when(F.col("delta_pct") > FLAT_PCT, "up").when(F.col("delta_pct") < -FLAT_PCT, "down").otherwise("flat"))
 
 
 # importance

@@ -11,6 +11,7 @@ from tickloom.functions.columns import ratio
 
 # Limits of a forecast request and of a batch.
 MIN_HISTORY = 50
+DEFAULT_STEPS, DEFAULT_CONFIDENCE = 1, 0.95
 MIN_STEPS, MAX_STEPS = 1, 30
 MIN_CONFIDENCE, MAX_CONFIDENCE = 0.5, 0.99
 MIN_BATCH, MAX_BATCH = 1, 10
@@ -122,12 +123,15 @@ def validate_requests(
     steps: str = "steps",
     confidence: str = "confidence",
 ) -> DataFrame:
-    """Accept or reject forecast requests given as rows of history: one row per request."""
+    """Accept or reject forecast requests given as rows of history: one row per request.
+
+    A request without steps or confidence gets the defaults.
+    """
     facts = df.groupBy(request).agg(
         F.count(F.lit(1)).alias("n_rows"),
         _count_if(F.col(date_col).isNull() | F.col(price).isNull()).alias("n_incomplete"),
-        F.max(steps).alias("steps"),
-        F.max(confidence).alias("confidence"),
+        F.coalesce(F.max(steps), F.lit(DEFAULT_STEPS)).alias("steps"),
+        F.coalesce(F.max(confidence), F.lit(DEFAULT_CONFIDENCE)).alias("confidence"),
     )
     reason = (
         F.when(F.col("n_rows") < MIN_HISTORY, "too few rows")

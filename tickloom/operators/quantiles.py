@@ -102,9 +102,9 @@ def quantiles(
         F.min(F.when(F.col("_upto") > rank + 1, F.col("_v"))).alias("_b"),
         F.max(F.col("_spot") - rank).alias("_part"),
     )
-    value = F.when(F.col("_part") == 0, F.col("_a")).otherwise(
-        F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")
-    )
+    # weighted as Spark's percentile does, so that both paths agree to the last digit
+    whole = (F.col("_part") == 0) | (F.col("_a") == F.col("_b"))
+    value = F.when(whole, F.col("_a")).otherwise((1 - F.col("_part")) * F.col("_a") + F.col("_part") * F.col("_b"))
     wide = picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_i") == i, value)).alias(name) for i, (name, _) in enumerate(items)]
     )

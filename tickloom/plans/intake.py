@@ -190,20 +190,21 @@ def forecast_requests(spark, d):
         F.floor(F.try_divide(u, F.lit(12))).alias("batch_id"),
         F.col("ts").alias("date"),
         F.when(~((u % 29 == 0) & (F.col("event_type") == "view")), F.col("value")).alias("price"),
-        (u % 35 + 1).cast("int").alias("steps"),
-        F.round(F.lit(0.45) + (u % 12) * 0.05, 2).alias("confidence"),
+        F.when(u % 7 != 0, u % 35 + 1).cast("int").alias("steps"),
+        F.when(u % 11 != 0, F.round(F.lit(0.45) + (u % 12) * 0.05, 2)).alias("confidence"),
     )
 
 
 REQUEST_SQL = """SELECT user_id AS request_id, user_id // 12 AS batch_id, ts AS date,
   CASE WHEN NOT (user_id % 29 = 0 AND event_type = 'view') THEN value END AS price,
-  CAST(user_id % 35 + 1 AS INTEGER) AS steps, round(0.45 + (user_id % 12) * 0.05, 2)::DOUBLE AS confidence FROM events"""
+  CAST(CASE WHEN user_id % 7 <> 0 THEN user_id % 35 + 1 END AS INTEGER) AS steps,
+  CASE WHEN user_id % 11 <> 0 THEN round(0.45 + (user_id % 12) * 0.05, 2)::DOUBLE END AS confidence FROM events"""
 VERDICT_SQL = """SELECT request_id, count(*) AS n_rows, count(*) FILTER (WHERE date IS NULL OR price IS NULL) AS n_incomplete,
-  max(steps) AS steps, max(confidence) AS confidence,
+  coalesce(max(steps), 1) AS steps, coalesce(max(confidence), 0.95) AS confidence,
   CASE WHEN count(*) < 50 THEN 'too few rows'
     WHEN count(*) FILTER (WHERE date IS NULL OR price IS NULL) > 0 THEN 'incomplete rows'
-    WHEN max(steps) NOT BETWEEN 1 AND 30 THEN 'steps out of range'
-    WHEN max(confidence) NOT BETWEEN 0.5 AND 0.99 THEN 'confidence out of range' END AS reason
+    WHEN coalesce(max(steps), 1) NOT BETWEEN 1 AND 30 THEN 'steps out of range'
+    WHEN coalesce(max(confidence), 0.95) NOT BETWEEN 0.5 AND 0.99 THEN 'confidence out of range' END AS reason
   FROM requests_in GROUP BY request_id"""
 
 

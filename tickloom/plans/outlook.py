@@ -14,6 +14,7 @@ from tickloom.plans.features import SERIES, STAMP
 from tickloom.plans.intake import REQUEST_SQL, VERDICT_SQL, forecast_requests
 from tickloom.plans.registry import query, r
 from tickloom.plans.scoring import MODEL, MODEL_SCORES
+from tickloom.sources.session import settle
 
 LATEST = "SELECT key, max(ts) AS last, arg_max(sell, ts) AS price FROM {0} GROUP BY key"
 
@@ -92,7 +93,7 @@ WEIGHTS, INTERCEPT = (0.5, 0.3, 0.15), 10.0
 def _recursive_sql(source: str) -> str:
     return f"""WITH RECURSIVE base AS ({fx.FIXTURE_SQL[source][1]}),
       three AS (SELECT key, max(ts) AS last, list(sell ORDER BY ts DESC) AS v FROM
-        (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC) <= 3) GROUP BY key HAVING count(*) = 3),
+        (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC) <= 3) GROUP BY key),
       walk AS (SELECT key, last, 0 AS step, v[1] AS p1, v[2] AS p2, v[3] AS p3 FROM three
         UNION ALL SELECT key, last, step + 1, 10.0 + 0.5 * p1 + 0.3 * p2 + 0.15 * p3, p1, p2 FROM walk WHERE step < 10)
       SELECT key, step, CAST(CAST(last + step AS DATE) AS VARCHAR) AS ts, {r('p1', 2, 'y_pred')} FROM walk WHERE step > 0"""
@@ -162,15 +163,17 @@ def f9(spark, d):
     "f10_f16_scenario_delta",
     fx.sql(
         f"""SELECT scenario, key, {r('y_pred', 4, 'y_pred')}, {r('base', 4, 'base')}, {r('(y_pred - base) / base * 100', 6, 'delta_pct')},
-        CASE WHEN y_pred > base THEN 'up' WHEN y_pred < base THEN 'down' ELSE 'flat' END AS impact FROM
-        (SELECT scenario, key, avg(sell) AS y_pred FROM s GROUP BY ALL) JOIN (SELECT key, avg(sell) AS base FROM s WHERE scenario = 'other' GROUP BY key) USING (key)""",
+        CASE WHEN (y_pred - base) / base * 100 > 1e-9 THEN 'up' WHEN (y_pred - base) / base * 100 < -1e-9 THEN 'down' ELSE 'flat' END AS impact FROM
+        means JOIN (SELECT key, y_pred AS base FROM means WHERE scenario = 'other') USING (key)""",
         "supplier_quotes",
         s=SCENARIO_SQL,
+        means="SELECT scenario, key, CAST(sum(CAST(sell AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS y_pred FROM s GROUP BY ALL",
     ),
 )
 def f10(spark, d):
     rows = fx.supplier_quotes(spark, d)
-    scored = fc.apply_scenarios(rows, SCENARIOS).groupBy("scenario", "key").agg(F.avg("sell").alias("y_pred"))
+    mean = F.try_divide(F.sum(F.col("sell").cast("decimal(18,6)")).cast("double"), F.count(F.lit(1)))
+    scored = settle(fc.apply_scenarios(rows, SCENARIOS).groupBy("scenario", "key").agg(mean.alias("y_pred")), "scenarios")
     base = scored.where("scenario = 'other'").select("key", "y_pred")
     return rounded(rounded(fc.scenario_delta(scored, base, ["key"]), 4, "y_pred", "base"), 6, "delta_pct")
 
