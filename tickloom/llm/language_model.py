@@ -31,6 +31,9 @@ BATCH = 1024
 RATE = 0.1
 #: Share of the training texts of the first round, from whose average the second round starts on all of them.
 WARM_UP = 0.1
+#: Tokens that are scored together, and scores whose exponentials, summed over all symbols, fit a float.
+SCORED = 1024
+EXP_RANGE = 75.0
 END = 0
 _SYMBOLS = 1 + OWN_SYMBOLS + CLASSES
 _PAD = _SYMBOLS
@@ -238,12 +241,20 @@ def log_softmax_at(p: dict, context: list[np.ndarray], target: np.ndarray) -> np
     """Normalised natural log probability of each target symbol after its context."""
     out = np.empty(len(target))
     mixed = [p["read"] @ m for m in p["mix"]]
-    for i in range(0, len(target), 4096):
-        q = sum(t[c[i : i + 4096]] for t, c in zip(mixed, context, strict=True))
-        scores = q @ p["write"].T + p["bias"]
-        scores -= scores.max(axis=1, keepdims=True)
-        to = target[i : i + 4096]
-        out[i : i + 4096] = scores[np.arange(len(to)), to] - np.log(np.exp(scores).sum(axis=1))
+    weights = np.vstack([p["write"].T, p["bias"]])
+    steepest, highest = np.linalg.norm(p["write"], axis=1).max(), np.abs(p["bias"]).max()
+    for i in range(0, len(target), SCORED):
+        to = target[i : i + SCORED]
+        q = np.ones((len(to), WIDTH + 1), np.float32)
+        q[:, :WIDTH] = mixed[0][context[0][i : i + SCORED]]
+        for t, c in zip(mixed[1:], context[1:], strict=True):
+            q[:, :WIDTH] += t[c[i : i + SCORED]]
+        scores = q @ weights
+        # a bound on the scores tells whether their exponentials can leave the range of a float
+        if np.linalg.norm(q[:, :WIDTH], axis=1).max() * steepest + highest > EXP_RANGE:
+            scores -= scores.max(axis=1, keepdims=True)
+        own = scores[np.arange(len(to)), to].astype(np.float64)
+        out[i : i + SCORED] = own - np.log(np.exp(scores, out=scores).sum(axis=1))
     return out
 
 
