@@ -253,3 +253,12 @@ def test_long_words_and_texts_make_the_round_trip(make, model):
     for r in sentencepiece_lattice.decode(sentencepiece_lattice.encode(make(rows), pieces), pieces).collect():
         assert r.text == dict(rows)[r.doc_id]
     assert sentencepiece_lattice.encode(make([]), pieces).count() == 0
+
+
+def test_functions_sent_to_workers_stay_small(make, spark, labelled):
+    from pyspark import cloudpickle
+
+    rows, labels = labelled
+    model = toxicity.fit(make(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    for sent in (toxicity._counted(), toxicity._scored(model), decontaminate._winnowed):
+        assert len(cloudpickle.dumps(sent)) < 1_000_000

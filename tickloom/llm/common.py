@@ -71,7 +71,14 @@ class Words:
         return mixed((sums[end] - sums[self.start]) * inverse[self.start])
 
 
-_kept_powers: list[np.ndarray] = []
+class _Kept(list):
+    """A list that reaches the workers empty: functions of this package go there by value, with the globals they use."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_kept_powers: list[np.ndarray] = _Kept()
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

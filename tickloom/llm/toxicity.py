@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import Words, alphanumeric, id_part, lower_ascii, mixed, text_slices
 
 THRESHOLD = 0.3
+#: Bytes of text that a task looks at together; the features of a byte take some 50 bytes.
+SLICE_BYTES = 1 << 18
 #: Labelled rows that a model is fitted on at most: those with the least hash of their id.
 SAMPLE_ROWS = 20_000
 #: Features of a model at most; the least number and share of toxic texts that have one, and its least chi-square with the label.
@@ -74,7 +76,7 @@ def _features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nda
 def _of_texts(texts: list[str]) -> list[np.ndarray]:
     """Distinct feature hashes of each text."""
     out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(texts)
-    for first, offsets, data in text_slices(pa.array(texts, pa.string())):
+    for first, offsets, data in text_slices(pa.array(texts, pa.string()), SLICE_BYTES):
         at, hashes = _features(offsets, data)
         order = np.argsort(at, kind="stable")
         cuts = np.searchsorted(at[order], np.arange(len(offsets)))
@@ -209,7 +211,7 @@ def _scored(model: Model):
         maybe[model.features >> shift] = True
         for batch in batches:
             scores = np.full(batch.num_rows, model.bias)
-            for first, offsets, data in text_slices(batch.column("text")):
+            for first, offsets, data in text_slices(batch.column("text"), SLICE_BYTES):
                 at, hashes = _features(offsets, data)
                 near = np.flatnonzero(maybe[hashes >> shift])
                 place = np.searchsorted(model.features, hashes[near])
@@ -225,7 +227,11 @@ def _scored(model: Model):
 
 
 def score(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
-    """(doc_id, carried columns, score) of every whole text; null and empty texts get the model's constant."""
+    """(doc_id, carried columns, score) of every whole text, a row for each row of ``docs``.
+
+    Null and empty texts, and texts without any feature, get the model's constant. Repeated rows are scored each and equal texts
+    score the same; columns that are not carried are ignored whatever their names; an empty table gives an empty table.
+    """
     taken = docs.select("doc_id", *carried, "text")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema if f.name != "text"]
     return taken.mapInArrow(_scored(model), ", ".join([*fields, "score double"]))
@@ -237,7 +243,11 @@ def held_out(parts: int = 4, part: int = 2):
 
 
 def not_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns unchanged.
+
+    A score equal to ``threshold`` goes. Null and empty texts have the model's constant score, and repeated rows go or stay
+    together. Only ``text`` is read, so other columns may have any names; an empty table gives an empty table.
+    """
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
