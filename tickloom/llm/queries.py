@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, exact_dedup, html_extract, language_model, licenses, line_dedup, sentencepiece_lattice, sharding, simhash, toxicity
+from tickloom.llm import decontaminate, exact_dedup, html_extract, language_model, licenses, line_dedup, periodic_runs, sentencepiece_lattice, sharding, simhash, toxicity
 from tickloom.llm.common import hex_of, read
 
 QUERIES: dict = {}
@@ -145,3 +145,23 @@ def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
     found = licenses.scan(read(spark, d, "documents"), licenses.known_digests(spark))
     names = F.array_sort(F.array_distinct(F.transform("notices", lambda x: x["licence"])))
     return found.select("doc_id", "licence", F.size("notices").cast("long").alias("n_notices"), F.concat_ws(",", names).alias("notice_licences"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    docs = periodic_runs.with_planted_periods(read(spark, d, "documents"))
+    found = periodic_runs.periodic_runs(docs, "doc_id")
+    # runs come by start, then period, so the first of equal exponents is the one to report
+    best = F.aggregate(F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))), F.get("runs", F.lit(0)), lambda x, r: F.when(r["length"] * x["period"] > x["length"] * r["period"], r).otherwise(x))
+    rows = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    found = found.withColumn("_best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("_best.start").alias("start"),
+        F.col("_best.length").alias("length"),
+        F.col("_best.period").alias("period"),
+        F.floor(1000 * F.col("_best.length") / F.col("_best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(rows, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
