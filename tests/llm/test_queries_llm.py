@@ -18,7 +18,8 @@ def con():
 def test_query(spark, con, name):
     problem, _, n = oracle.compare(spark, con, name, QUERIES[name], ORACLES.get(name), FOLDER)
     assert problem is None, problem
-    assert n == con.execute(f"SELECT count(*) FROM {'pages' if name.startswith('op6') else 'documents'}").fetchone()[0]
+    if name != "op11_spelling_variants":  # a row for each word
+        assert n == con.execute(f"SELECT count(*) FROM {'pages' if name.startswith(('op6', 'op12')) else 'documents'}").fetchone()[0]
 
 
 def test_pipeline_over_the_small_table(spark, con):

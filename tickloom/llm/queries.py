@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, exact_dedup, html_extract, language_model, licenses, line_dedup, periodic_runs, sentencepiece_lattice, sharding, simhash, toxicity
+from tickloom.llm import decontaminate, exact_dedup, html_extract, language_model, licenses, line_dedup, periodic_runs, sentencepiece_lattice, sharding, simhash, spelling, toxicity
 from tickloom.llm.common import hex_of, read
 
 QUERIES: dict = {}
@@ -147,6 +147,33 @@ def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "licence", F.size("notices").cast("long").alias("n_notices"), F.concat_ws(",", names).alias("notice_licences"))
 
 
+@query(rf"""
+WITH RECURSIVE
+tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+run AS (
+  SELECT doc_id, w, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents)
+  WHERE length(w) >= 7 GROUP BY doc_id, w),
+coded AS (SELECT w, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM run),
+hashed AS (
+  SELECT w, k, xor(4294967295, list_reduce(list_transform(range(1, len(x), 2), lambda i: CAST('0x' || x[i:i + 1] AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), CAST(4294967295 AS BIGINT))) AS h FROM coded, tab),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, k FROM hashed),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+gap AS (SELECT DISTINCT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM gap a JOIN gap b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM gap a JOIN v b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM gap a JOIN v b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, struct_pack(a := -m, b := other)) AS other FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+led AS (SELECT word, word AS root, form AS step FROM f UNION ALL SELECT led.word, f.word, f.form FROM led JOIN f ON f.word = led.step)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN (SELECT word, root FROM led WHERE step IS NULL) USING (word)
+""")
+def op11_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(read(spark, d, "documents"), plant=True))
+
+
 @query()
 def op13_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
     docs = periodic_runs.with_planted_periods(read(spark, d, "documents"))
