@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.sources.session import settle
@@ -33,6 +33,8 @@ PREFIX = 3
 PIVOTS = 2
 #: Bigrams are ordered by the words that have one of their class; there are so many classes whatever the alphabet.
 CLASSES = 1 << 16
+#: Code points of words that are verified by Spark's edit distance.
+SHORT = 64
 #: Different words that a counting task holds before it passes them on.
 HELD_WORDS = 1 << 17
 
@@ -144,25 +146,18 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(seen[kinds])], ["kind", "n"])
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Whether exactly one inserted, deleted or replaced code point leads from one to the other."""
-    if a == b or abs(len(a) - len(b)) > 1:
-        return False
-    if len(a) > len(b):
-        a, b = b, a
-    low, high = 0, len(a)  # they agree before low; they do not all along to beyond high
-    while low < high:
-        middle = (low + high + 1) // 2
-        if a[low:middle] == b[low:middle]:
-            low = middle
-        else:
-            high = middle - 1
-    return a[low + (len(a) == len(b)) :] == b[low + 1 :]
+def one_edit(a: str, b: str) -> Column:
+    """Whether exactly one inserted, deleted or replaced code point leads from column ``a`` to column ``b``.
 
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch.filter(pa.array([one_edit(a, b) for a, b in zip(batch.column("word").to_pylist(), batch.column("other").to_pylist(), strict=True)], pa.bool_()))
+    Spark's bounded edit distance takes the square of the length, so longer words are cut where they first differ, found by halving.
+    """
+    n, m = F.char_length(a), F.char_length(b)
+    agree = F.expr(
+        f"aggregate(sequence(30, 0), 0, (x, k) -> if(x + shiftleft(1, k) <= least(char_length({a}), char_length({b}))"
+        f" and left({a}, x + shiftleft(1, k)) = left({b}, x + shiftleft(1, k)), x + shiftleft(1, k), x))"
+    )
+    rests = F.substring(a, agree + 1 + (n >= m).cast("int"), n) == F.substring(b, agree + 1 + (m >= n).cast("int"), m)
+    return (F.abs(n - m) <= 1) & (F.col(a) != F.col(b)) & F.when(n <= SHORT, F.levenshtein(a, b, 1) == 1).otherwise(rests)
 
 
 def _indexed(frequency: np.ndarray):
@@ -194,8 +189,7 @@ def near_words(words: DataFrame) -> DataFrame:
     index = settle(index.withColumn("key", F.xxhash64("key")), "gram-index")
     pivots = index.where("pivot").select("key", "last", "word", "n")
     prefixes = index.where("not pivot").select("key", F.col("last").alias("until"), F.col("word").alias("other"), F.col("n").alias("m"))
-    pairs = pivots.join(prefixes, "key").where("last <= until and word <> other").select("word", "n", "other", "m")
-    pairs = pairs.mapInArrow(_verified, "word string, n long, other string, m long")
+    pairs = pivots.join(prefixes, "key").where("last <= until").where(one_edit("word", "other")).select("word", "n", "other", "m")
     both = pairs.select(F.explode(F.array(F.struct("word", "n", "other", "m"), F.struct(F.col("other").alias("word"), F.col("m").alias("n"), F.col("word").alias("other"), F.col("n").alias("m")))).alias("x"))
     return both.select("x.*").repartition("word").distinct()
 
