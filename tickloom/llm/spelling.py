@@ -5,8 +5,8 @@ that share no letter, the pivots. One edit changes one of two disjoint bigrams a
 prefix ends earlier in that order has a pivot that is left whole, and it is in the other's prefix, moved by one place at most.
 Pivots meet prefixes in an equi-join, and every pair found is verified.
 
-A whole pivot has the edit on one side only. The join's key is therefore the whole other side of the word, with
-the other word's length; where that side is under half of the word, half of the rest goes with it, since one edit leaves one of two halves
+The edit is left of the second pivot or, if not, right of the first. The join's key is therefore the word from the second pivot on, or
+up to the first, with the other word's length; where that side is under half of the word, half of the rest goes with it, since one edit leaves one of two halves
 as it is. A key says half of a word at least, so that a bigram which many words share makes no large group.
 """
 from __future__ import annotations
@@ -117,17 +117,20 @@ def pivots_of(prefix: list[tuple[int, int]]) -> list[int]:
     return min(best[PIVOTS])[1]
 
 
-def keys_of(word: str, place: int, target: int) -> Iterator[str]:
-    """What a word of ``target`` letters must share with ``word`` if they are one edit apart and the bigram at ``place`` is in both."""
-    head, tail = word[: place + 2], word[place:]
-    # the edit is right of the bigram: all up to it is shared
+def keys_before(word: str, place: int, target: int) -> Iterator[str]:
+    """What a word of ``target`` letters must share with ``word`` if they are one edit apart, and that is right of the bigram at ``place``."""
+    head = word[: place + 2]
     rest, cut = target - len(head), (target - len(head)) // 2
     if rest <= len(head):
         yield f"{target} {len(head)} all {head}"
     else:
         yield f"{target} {len(head)} near {word[: len(head) + cut]}"
         yield f"{target} {len(head)} far {head} {word[max(len(head), len(word) - rest + cut) :]}"
-    # or left of it: all from it on
+
+
+def keys_after(word: str, place: int, target: int) -> Iterator[str]:
+    """The same if the edit is left of the bigram."""
+    tail = word[place:]
     rest, cut = target - len(tail), (target - len(tail)) // 2
     if rest <= len(tail):
         yield f"{target} {-len(tail)} all {tail}"
@@ -167,9 +170,12 @@ def _indexed(frequency: np.ndarray):
                 out: list[tuple[bool, str, int, str, int]] = []
                 for word, n in zip(part.column("word").to_pylist(), part.column("n").to_pylist(), strict=True):
                     prefix, last = prefix_of(word, frequency)
-                    pivots = {key for place in pivots_of(prefix[:PREFIX]) for size in (len(word) - 1, len(word), len(word) + 1) for key in keys_of(word, place, size)}
-                    out += [(True, key, last, word, n) for key in sorted(pivots)]
-                    out += [(False, key, last, word, n) for key in sorted({key for _, place in prefix for key in keys_of(word, place, len(word))})]
+                    # an edit that is not left of the second pivot is right of the first
+                    first, second = pivots_of(prefix[:PREFIX])
+                    own = {key for size in (len(word) - 1, len(word), len(word) + 1) for key in (*keys_before(word, first, size), *keys_after(word, second, size))}
+                    out += [(True, key, last, word, n) for key in sorted(own)]
+                    own = {key for _, place in prefix for key in (*keys_before(word, place, len(word)), *keys_after(word, place, len(word)))}
+                    out += [(False, key, last, word, n) for key in sorted(own)]
                 columns = list(zip(*out, strict=True)) if out else [()] * 5
                 kinds = (pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["pivot", "key", "last", "word", "n"])
