@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, exact_dedup, html_extract, language_model, licenses, line_dedup, periodic_runs, sentencepiece_lattice, sharding, simhash, spelling, toxicity
+from tickloom.llm import decontaminate, exact_dedup, html_extract, language_model, licenses, line_dedup, periodic_runs, sentencepiece_lattice, sharding, simhash, spelling, toxicity, warc
 from tickloom.llm.common import hex_of, read
+from tickloom.sources.session import new_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -174,6 +175,27 @@ def op11_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
     return spelling.variants(spelling.count_words(read(spark, d, "documents"), plant=True))
 
 
+@query("""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS stays FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = stays THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> stays THEN stays END AS refers_to FROM f
+""")
+def op12_warc(spark: SparkSession, d: str) -> DataFrame:
+    folder = new_path(spark, "archives")
+    warc.write_archives(read(spark, d, "pages"), folder)
+    records = warc.read_archives(spark, folder).where("problem is null")
+    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    full = F.col("type") == "response"
+    return records.select(
+        page("record_id").alias("page_id"),
+        F.when(full, F.octet_length("payload")).otherwise(F.col("fields")["x-payload-length"].try_cast("long")).cast("long").alias("payload_bytes"),
+        F.when(full, F.sha2("payload", 256)).otherwise(F.substring(F.col("fields")["warc-payload-digest"], 8, 64)).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.when(~full, page(F.col("fields")["warc-refers-to"])).alias("refers_to"),
+    )
+
+
 @query()
 def op13_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
     docs = periodic_runs.with_planted_periods(read(spark, d, "documents"))
