@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: A block ends when it has so many different words, or so many bytes of text.
-BLOCK_WORDS = 1 << 19
-BLOCK_BYTES = 1 << 26
+BLOCK_WORDS = 1 << 17
+BLOCK_BYTES = 1 << 24
 #: Tasks that solve words, per shuffle partition of the session.
 SOLVING_TASKS = 8
 #: Fixed values of the model format: kinds of pieces, and what an unknown character costs beyond the worst piece.
