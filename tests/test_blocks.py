@@ -113,6 +113,42 @@ def test_ema_skips_gaps_like_pandas(spark):
     np.testing.assert_allclose(got["ema_3"].astype(float), x.ewm(span=3).mean())
 
 
+@pytest.mark.parametrize("rows", (1_000_000, 700, 37))
+def test_ema_of_any_span_over_any_gap(spark, rows):
+    rng = np.random.default_rng(2)
+    n = 5000
+    x = pd.Series(50 + rng.normal(0, 1, n).cumsum())
+    at = np.arange(n)
+    x[(at % 460 >= 60) | ((at > 1500) & (at < 4700) & (at != 3000)) | (at < 3)] = np.nan
+    df = spark.createDataFrame([("a", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)] + [("b", 0, 1.0), ("c", 0, None), (None, 5, 2.0)], "key string, ts int, sell double")
+    got = add_features(df, Series(("key",), "ts", block_rows=rows), ind.ema("sell", (1, 2, 5, 100, 200, 5000)), ind.macd("sell")).toPandas()
+    a = got[got.key == "a"].sort_values("ts")
+    for span in (2, 5, 100, 200, 5000):
+        want = x.ewm(span=span).mean()
+        held = want.copy()
+        # where every weight of a span has left the range of a double, the mean still stands
+        assert a[f"ema_{span}"].isna().sum() == 3
+        near = (at < 1500) | (at > 4700)
+        np.testing.assert_allclose(a[f"ema_{span}"].astype(float)[near], held[near], rtol=1e-9, err_msg=str(span))
+        assert np.isfinite(a[f"ema_{span}"].astype(float)[3:]).all()
+    np.testing.assert_allclose(a["ema_1"].astype(float), x.ffill())
+    assert got[got.key == "b"]["ema_5"].tolist() == [1.0] and got[got.key == "c"]["ema_5"].isna().all() and got[got.key.isna()]["ema_200"].tolist() == [2.0]
+    macd = x.ewm(span=12).mean() - x.ewm(span=26).mean()
+    near = at < 1500
+    np.testing.assert_allclose(a["macd_signal"].astype(float)[near], macd.ewm(span=9).mean()[near], rtol=1e-6, atol=1e-9)
+    with pytest.raises(ValueError):
+        ind.ema("sell", (0,))
+
+
+def test_indicators_of_far_apart_periods(spark):
+    x = pd.Series(np.arange(700.0) % 13)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "ts int, sell double")
+    got = add_features(df, Series((), "ts", block_rows=150), *ind.indicators("sell", (5, 100, 200))).toPandas().sort_values("ts")
+    for n in (5, 100, 200):
+        np.testing.assert_allclose(got[f"ema_{n}"].astype(float), x.ewm(span=n).mean(), rtol=1e-9)
+        np.testing.assert_allclose(got[f"sma_{n}"].astype(float), x.rolling(n).mean(), rtol=1e-9)
+
+
 def test_flat_and_short_series(spark):
     flat = [("flat", i, 5.0) for i in range(60)] + [("short", i, float(i)) for i in range(3)]
     rising = [("rise", i, float(i)) for i in range(20)]

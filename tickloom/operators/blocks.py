@@ -25,13 +25,14 @@ class Series:
     """How rows form series: key columns, order column, and columns that break ties.
 
     ``block_rows`` is the number of rows of one series a single task should sort; series that
-    are longer are cut.
+    are longer are cut. ``cut`` tells a feature that some are.
     """
 
     keys: tuple[str, ...] = ()
     ts: str = "ts"
     tie: tuple[str, ...] = ()
     block_rows: int = 1_000_000
+    cut: bool = False
 
     def __post_init__(self):
         object.__setattr__(self, "keys", tuple(self.keys))
@@ -199,7 +200,8 @@ def rolled(c: str, fold: str, n: int) -> Column:
 
 def add_features(df: DataFrame, s: Series, *features: Feature) -> DataFrame:
     """Add all features with one layout and one shuffle by (key, block)."""
-    laid = with_blocks(df, s, max((f.back for f in features), default=0))
+    layout = block_layout(df, s, max((f.back for f in features), default=0))
+    laid, s = _place(df, s, layout), replace(s, cut=layout is not None)
     rolls = list(dict.fromkeys(roll for f in features for roll in f.rolls))
     if rolls:
         frames = {n: rows_back(s, n) for _, _, n in rolls}

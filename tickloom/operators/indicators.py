@@ -4,12 +4,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import ratio
 from tickloom.operators import lags
-from tickloom.operators.blocks import Feature, Series, rolled, rows_back
+from tickloom.operators.blocks import Feature, Series, attach, rolled, rows_back
+from tickloom.sources.session import settle
 
 # Default window lengths, in rows.
 AVERAGE_PERIODS = (5, 10, 20, 50)
@@ -20,8 +22,9 @@ MACD_SPANS = (12, 26, 9)
 BAND_PERIOD = 20
 BAND_WIDTH = 2
 
-# A decay weight below this share of the newest weight is lost in a double.
-NEGLIGIBLE = 1e-18
+# The last value of a stretch of rows outweighs by this exponent all that lies a whole stretch further back, beyond what a double holds.
+FORGOTTEN = 45.0
+# Weights inside a stretch span no more than this exponent.
 LARGEST_EXPONENT = 600.0
 
 
@@ -113,65 +116,145 @@ def rsi_zone(value: str | Column = "rsi") -> Column:
     )
 
 
-def _decay(span: int) -> float:
-    return 1.0 - 2.0 / (span + 1)
+def _rate(span: int) -> float:
+    """Exponent by which a value's weight falls per row."""
+    return -math.log1p(-2.0 / (span + 1))
 
 
-def _scan_rows(spans: Sequence[int]) -> int:
-    """Rows after which the slowest decay is negligible, so one earlier stretch carries all."""
-    rows = max(32, max(math.ceil(math.log(NEGLIGIBLE) / math.log(_decay(n))) for n in spans))
-    if -math.log(_decay(min(spans))) * rows > LARGEST_EXPONENT:
-        raise ValueError(f"spans {tuple(spans)} decay too differently for one scan; compute them apart")
-    return rows
+def _scans(spans: Sequence[int]) -> list[tuple[int, list[int]]]:
+    """(rows of a stretch, spans) of each scan: slow spans need long stretches, in which fast ones would leave the range of a double."""
+    out: list[tuple[int, list[int]]] = []
+    for span in sorted(set(spans), reverse=True):
+        if out and _rate(span) * out[-1][0] <= LARGEST_EXPONENT:
+            out[-1][1].append(span)
+        else:
+            out.append((math.ceil(FORGOTTEN / _rate(span)), [span]))
+    return out
 
 
-def _ewm(df: DataFrame, s: Series, wanted: dict[str, tuple[str, int]], rows: int) -> DataFrame:
-    """Adjusted exponential means, name -> (column, span).
+def _joined(older: Column, gap: Column, rate: float, mean: Column, logw: Column) -> tuple[Column, Column]:
+    """Mean and log weight of a decay map after another, whose struct (mean, logw) held ``gap`` rows ago. Null means without values."""
+    faded = older["logw"] - gap * rate
+    part = F.exp(faded - logw)
+    both = logw.isNotNull() & faded.isNotNull()
+    return (
+        F.when(both, (mean + part * older["mean"]) / (1 + part)).otherwise(F.coalesce(mean, older["mean"])),
+        F.when(both, logw + F.log1p(part)).otherwise(F.coalesce(logw, faded)),
+    )
+
+
+def _scan(df: DataFrame, s: Series, wanted: dict[str, tuple[str, float]], rows: int) -> DataFrame:
+    """``_m_name`` and ``_l_name``: decayed mean and log weight over the block's own rows so far, name -> (column, rate).
 
-    With q the decay, the mean is sum(q^i x[t-i]) / sum(q^i) over rows with a value. Row numbers
-    are cut into stretches of ``rows`` rows. Inside a stretch the sums are prefix sums of
-    x q^-j, scaled by q^j; from the stretch before, its final sums are carried. Older rows weigh
-    less than a double can show.
+    Row numbers are cut into stretches of ``rows``. Inside a stretch the sums are prefix sums of x q^-j, scaled by q^j. What lies before is
+    the last stretch with a value, joined with the one before that; older ones weigh less than a double holds, whatever gaps lie between.
     """
     stretch = Window.partitionBy(*s.keys, "_home", "_stretch").orderBy(*s.order())
     so_far = stretch.rowsBetween(Window.unboundedPreceding, 0)
-    earlier = (
-        Window.partitionBy(*s.keys, "_home")
-        .orderBy("_stretch", *s.order())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    df = df.withColumns({"_stretch": F.floor(F.try_divide("_pos", F.lit(rows))), "_j": F.col("_pos") % rows})
-    sums, carries, means = {}, {}, {}
-    for i, (name, (c, span)) in enumerate(wanted.items()):
-        q = F.lit(_decay(span))
-        x, grown, shrunk = F.col(c), F.pow(q, -F.col("_j")), F.pow(q, F.col("_j"))
-        sums[f"_x{i}"] = F.sum(F.coalesce(x, F.lit(0.0)) * grown).over(so_far) * shrunk
-        sums[f"_w{i}"] = F.sum(F.when(x.isNotNull(), grown).otherwise(F.lit(0.0))).over(so_far) * shrunk
-        for kind in "xw":
-            done = F.when(F.col("_j") == rows - 1, F.col(f"_{kind}{i}"))
-            last = F.last(done, ignorenulls=True).over(earlier)
-            carries[f"_c{kind}{i}"] = F.coalesce(last, F.lit(0.0)) * F.pow(q, F.col("_j") + 1)
-        means[name] = F.try_divide(F.col(f"_x{i}") + F.col(f"_cx{i}"), F.col(f"_w{i}") + F.col(f"_cw{i}"))
-    return df.withColumns(sums).withColumns(carries).withColumns(means).drop("_stretch", "_j", *sums, *carries)
+    earlier = Window.partitionBy(*s.keys, "_home").orderBy("_stretch", *s.order()).rowsBetween(Window.unboundedPreceding, -1)
+    pos, j = F.col("_pos"), F.col("_j")
+    df = df.withColumns({"_stretch": F.floor(F.try_divide(pos, F.lit(rows))), "_j": pos % rows})
+    sums, own, ends, alone, full, last, out = {}, {}, {}, {}, {}, {}, {}
+    for name, (c, rate) in wanted.items():
+        x = F.when(F.col("_own"), F.col(c))
+        grown = F.exp(j * rate)
+        sums[f"_s_{name}"] = F.sum(x * grown).over(so_far)
+        sums[f"_w_{name}"] = F.sum(F.when(x.isNotNull(), grown)).over(so_far)
+        mean, logw = F.try_divide(F.col(f"_s_{name}"), F.col(f"_w_{name}")), F.ln(f"_w_{name}") - j * rate
+        own[f"_m_{name}"], own[f"_l_{name}"] = mean, logw
+        mean, logw = F.col(f"_m_{name}"), F.col(f"_l_{name}")
+        ends[f"_e_{name}"] = F.when((j == rows - 1) & logw.isNotNull(), F.struct(pos.alias("pos"), mean.alias("mean"), logw.alias("logw")))
+        alone[f"_a_{name}"] = F.last(f"_e_{name}", ignorenulls=True).over(earlier)
+        before = F.col(f"_a_{name}")
+        both = _joined(before, pos - before["pos"], rate, mean, logw)
+        full[f"_f_{name}"] = F.when(F.col(f"_e_{name}").isNotNull(), F.struct(pos.alias("pos"), both[0].alias("mean"), both[1].alias("logw")))
+        last[f"_b_{name}"] = F.last(f"_f_{name}", ignorenulls=True).over(earlier)
+        before = F.col(f"_b_{name}")
+        out[f"_m_{name}"], out[f"_l_{name}"] = _joined(before, pos - before["pos"], rate, mean, logw)
+    for step in (sums, own, ends, alone, full, last, out):
+        df = df.withColumns(step)
+    return df.drop("_stretch", "_j", *sums, *ends, *alone, *full, *last)
+
+
+def _carried(df: DataFrame, s: Series, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """(keys, _home, _c_name): decay maps composed over all blocks before each block, a row for each block of a cut series.
+
+    A block's map is its rows, the mean and the log weight of its values at its end. Weights are taken relative to the block's last
+    value, so they hold however long it is ago.
+    """
+    block = Window.partitionBy(*s.keys, "_home")
+    own = df.where("_own")
+    own = own.withColumns({f"_p_{n}": F.max(F.when(F.col(c).isNotNull(), F.col("_pos"))).over(block) for n, (c, _) in wanted.items()})
+    parts = [F.max("_pos").alias("_end")]
+    for name, (c, rate) in wanted.items():
+        share = F.when(F.col(c).isNotNull(), F.exp((F.col("_pos") - F.col(f"_p_{name}")) * rate))
+        parts += [F.max(f"_p_{name}").alias(f"_p_{name}"), F.sum(F.col(c) * share).alias(f"_s_{name}"), F.sum(share).alias(f"_w_{name}")]
+    maps = own.groupBy(*s.keys, "_home").agg(*parts)
+    rates = {name: rate for name, (_, rate) in wanted.items()}
+    kept = [f.simpleString().split(":", 1) for f in maps.schema if f.name in (*s.keys, "_home")]
+    carries = ", ".join([f"`{n}` {t}" for n, t in kept] + [f"_c_{n} struct<pos:long,mean:double,logw:double>" for n in rates])
+
+    def composed(blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks.sort_values("_home")
+        out = blocks[[n for n, _ in kept]].copy()
+        for name, rate in rates.items():
+            rows, held = [], None
+            for end, at, total, weight in zip(blocks["_end"], blocks[f"_p_{name}"], blocks[f"_s_{name}"], blocks[f"_w_{name}"], strict=True):
+                rows.append(held)
+                if weight > 0:
+                    mean, logw = total / weight, math.log(weight) - rate * (end - at)
+                    if held is not None:
+                        part = math.exp(held["logw"] - rate * (end - held["pos"]) - logw)
+                        mean, logw = (mean + part * held["mean"]) / (1 + part), logw + math.log1p(part)
+                    held = {"pos": int(end), "mean": mean, "logw": logw}
+            out[f"_c_{name}"] = pd.Series(rows, index=blocks.index, dtype=object)
+        return out
+
+    return settle(maps.groupBy(*s.keys).applyInPandas(composed, carries), "decay-maps")
+
+
+def _ewm(df: DataFrame, s: Series, wanted: dict[str, tuple[str, int]]) -> DataFrame:
+    """Adjusted exponential means, name -> (column, span), for any spans and any gaps.
+
+    With q the decay, the mean is sum(q^i x[t-i]) / sum(q^i) over all earlier rows with a value; a row without one keeps the mean. A span of 1 is the last value.
+    """
+    rates = {name: (c, _rate(span) if span > 1 else LARGEST_EXPONENT) for name, (c, span) in wanted.items()}
+    for rows, spans in _scans([span for _, span in wanted.values() if span > 1]):
+        df = _scan(df, s, {name: rates[name] for name, (_, span) in wanted.items() if span in spans}, rows)
+    lasts = {name: c for name, (c, span) in wanted.items() if span <= 1}
+    so_far = s.window().rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"_m_{name}": F.last(F.when(F.col("_own"), F.col(c)), ignorenulls=True).over(so_far) for name, c in lasts.items()})
+    if not s.cut:
+        return df.withColumns({name: F.col(f"_m_{name}") for name in wanted}).drop(*[f"_{k}_{name}" for name in wanted for k in "ml"])
+    df = attach(df, _carried(df, s, rates), [*s.keys, "_home"])
+    means = {}
+    for name in wanted:
+        held = F.col(f"_c_{name}")
+        if name in lasts:
+            means[name] = F.coalesce(f"_m_{name}", held["mean"])
+        else:
+            means[name] = _joined(held, F.col("_pos") - held["pos"], rates[name][1], F.col(f"_m_{name}"), F.col(f"_l_{name}"))[0]
+    return df.withColumns(means).drop(*[f"_{k}_{name}" for name in wanted for k in "mlc"])
 
 
 def ema(c: str, spans: Sequence[int] = AVERAGE_PERIODS) -> Feature:
-    rows = _scan_rows(spans)
-    return Feature(2 * rows, lambda df, s: _ewm(df, s, {f"ema_{n}": (c, n) for n in spans}, rows))
+    """Exponential means ``ema_n`` of the given spans, 1 or more."""
+    if any(n < 1 for n in spans):
+        raise ValueError(f"spans must be 1 or more: {tuple(spans)}")
+    return Feature(0, lambda df, s: _ewm(df, s, {f"ema_{n}": (c, n) for n in spans}))
 
 
 def macd(c: str, spans: tuple[int, int, int] = MACD_SPANS) -> Feature:
     """Fast minus slow mean, its own mean (signal), and the difference (histogram)."""
     fast, slow, signal = spans
-    rows = _scan_rows(spans)
 
     def build(df: DataFrame, s: Series) -> DataFrame:
-        df = _ewm(df, s, {"_fast": (c, fast), "_slow": (c, slow)}, rows)
+        df = _ewm(df, s, {"_fast": (c, fast), "_slow": (c, slow)})
         df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-        df = _ewm(df, s, {"macd_signal": ("macd", signal)}, rows)
+        df = _ewm(df, s, {"macd_signal": ("macd", signal)})
         return df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
 
-    return Feature(4 * rows, build)
+    return Feature(0, build)
 
 
 def indicators(c: str, periods: Sequence[int] = AVERAGE_PERIODS) -> tuple[Feature, ...]:

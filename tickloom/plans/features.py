@@ -216,6 +216,46 @@ def w2(spark, d):
     return _only(_featured(spark, d, ind.ema("sell")))
 
 
+def _uncut_ewm_sql(spans: tuple[int, ...]) -> str:
+    """Exponential means over all earlier rows; weights count from the last value, so that they hold over gaps."""
+    weights = {n: f"pow({n - 1}.0 / {n + 1}.0, a.held - b.rn)" for n in spans}
+    means = ", ".join(r(f"sum(b.sell * {w}) / sum({w})", 4, f"ema_{n}") for n, w in weights.items())
+    return f"""SELECT a.key, CAST(a.ts AS VARCHAR) AS ts, {means} FROM held a
+      LEFT JOIN held b ON a.key = b.key AND b.rn <= a.rn AND b.sell IS NOT NULL GROUP BY a.key, a.ts"""
+
+
+WIDE_SPANS = (1, 5, 100, 200)
+HELD = f"""SELECT *, max(CASE WHEN sell IS NOT NULL THEN rn END) OVER ({SERIES}) AS held
+  FROM (SELECT *, row_number() OVER ({SERIES}) AS rn FROM sparse_quotes)"""
+
+
+@query("w2_ema_any_spans", fx.sql(_uncut_ewm_sql(WIDE_SPANS), "sparse_quotes", held=HELD))
+def w2_any_spans(spark, d):
+    return _only(add_features(fx.sparse_quotes(spark, d), fx.QUOTE.with_rows(500), ind.ema("sell", WIDE_SPANS)))
+
+
+PERIOD_CTES = {
+    "lines": _uncut_ewm_sql((12, 26)).replace("round(", "(").replace(", 4) + 0.0", ")").replace("CAST(a.ts AS VARCHAR) AS ts", "a.ts AS ts, any_value(a.rn) AS rn"),
+    "diffs": "SELECT key, ts, rn, ema_12 - ema_26 AS macd FROM lines",
+    "signals": """SELECT a.key, a.ts, sum(b.macd * pow(0.8, a.rn - b.rn)) / sum(pow(0.8, a.rn - b.rn)) AS macd_signal FROM diffs a
+      JOIN diffs b ON a.key = b.key AND b.rn <= a.rn AND b.rn > a.rn - 2000 AND b.macd IS NOT NULL GROUP BY a.key, a.ts""",
+}
+
+
+@query(
+    "w4_macd_over_gaps",
+    fx.sql(
+        f"SELECT d.key, CAST(d.ts AS VARCHAR) AS ts, {r('macd', 4, 'macd')}, {r('macd_signal', 4, 'macd_signal')}, {r('macd - macd_signal', 4, 'macd_histogram')} "
+        "FROM diffs d LEFT JOIN signals s ON d.key = s.key AND d.ts = s.ts",
+        "sparse_quotes",
+        held=HELD,
+        **PERIOD_CTES,
+    ),
+)
+def w4_over_gaps(spark, d):
+    return _only(add_features(fx.sparse_quotes(spark, d), fx.QUOTE.with_rows(500), ind.macd("sell")))
+
+
 RSI_CTES = {
     "moves": f"SELECT *, sell - lag(sell) OVER ({SERIES}) AS step FROM quotes",
     "sides": "SELECT *, CASE WHEN step > 0 THEN step ELSE 0 END AS gain, CASE WHEN step < 0 THEN -step ELSE 0 END AS loss FROM moves",

@@ -86,6 +86,11 @@ def gaps(spark: SparkSession, d: str) -> DataFrame:
     return quotes(spark, d).withColumns({"sell": F.when(~hole, F.col("sell")), "buy": F.when(day % 11 != 0, F.col("buy"))})
 
 
+def sparse_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Quotes of sixty days, then none for four hundred, again and again."""
+    return quotes(spark, d).withColumn("sell", F.when(_day() % 460 < 60, F.col("sell")))
+
+
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """The price before as forecast."""
     lagged = add_features(quotes(spark, d), QUOTE, lags.lags(["sell"], [1]))
@@ -177,6 +182,7 @@ FIXTURE_SQL = {
         f"""SELECT key, ts, CASE WHEN NOT {_HOLE} THEN sell END AS sell,
         CASE WHEN {_DAY} % 11 <> 0 THEN buy END AS buy FROM quotes""",
     ),
+    "sparse_quotes": (("quotes",), f"SELECT key, ts, CASE WHEN {_DAY} % 460 < 60 THEN sell END AS sell, buy FROM quotes"),
     "predictions": (
         ("quotes",),
         """SELECT * FROM (SELECT key, ts, sell AS y_true, lag(sell) OVER (PARTITION BY key ORDER BY ts) AS y_pred
