@@ -164,17 +164,26 @@ def hold(df: DataFrame, s: Series, breached: str = "breached", hold_s: str | int
     return marked.withColumns({"since": since, "firing": F.coalesce(held, F.lit(False))}).drop("_began", "_run")
 
 
-def absences(df: DataFrame, s: Series, limit_s: int) -> DataFrame:
-    """Stretches without a sample longer than ``limit_s`` seconds: (keys, gone_from, back_at, seconds)."""
+def absences(df: DataFrame, s: Series, limit_s: int, until=None) -> DataFrame:
+    """Stretches without a sample longer than ``limit_s`` seconds: (keys, gone_from, back_at, seconds).
+
+    With ``until``, the time of the look, a series whose last sample is longer ago than the limit is gone still: its
+    ``back_at`` is null and ``seconds`` count up to then; later samples are left out.
+    """
+    df = df.select(*s.keys, s.ts, *s.tie)
+    if until is not None:
+        df = df.where(F.col(s.ts) <= until)
 
     def build(rows: DataFrame, s: Series) -> DataFrame:
         return rows.withColumn("gone_from", F.lag(s.ts).over(s.window()))
 
-    gaps = add_features(df.select(*s.keys, s.ts, *s.tie), s, Feature(1, build))
-    seconds = F.try_divide(F.unix_micros(s.ts) - F.unix_micros("gone_from"), F.lit(1_000_000))
-    return gaps.withColumn("seconds", seconds).where(F.col("seconds") > limit_s).select(
-        *s.keys, "gone_from", F.col(s.ts).alias("back_at"), "seconds"
-    )
+    gaps = add_features(df, s, Feature(1, build)).select(*s.keys, "gone_from", F.col(s.ts).alias("back_at"))
+    if until is not None:
+        last = df.groupBy(*s.keys).agg(F.max(s.ts).alias("gone_from"))
+        gaps = gaps.unionByName(last.withColumn("back_at", F.lit(None).cast(df.schema[s.ts].dataType)))
+    end = F.col("back_at") if until is None else F.coalesce("back_at", until)
+    seconds = F.try_divide(F.unix_micros(end) - F.unix_micros("gone_from"), F.lit(1_000_000))
+    return gaps.withColumn("seconds", seconds).where(F.col("seconds") > limit_s)
 
 
 def unusual_volume(rates: DataFrame) -> DataFrame:

@@ -157,6 +157,29 @@ def t9(spark, d):
     return rounded(fx.dated(mon.absences(fx.requests(spark, d), JOB, 3600)), 6)
 
 
+LOOK = "2024-01-25 00:00:00"
+SERIES_SQL = "SELECT job || '/' || (client % 25) AS series, ts FROM requests"
+
+
+def _many_series(spark, d):
+    return fx.requests(spark, d).select(F.concat_ws("/", "job", F.pmod("client", F.lit(25)).cast("string")).alias("series"), "ts")
+
+
+@query(
+    "t9_absences_still_on",
+    fx.sql(
+        f"""SELECT series, CAST(ts AS VARCHAR) AS gone_from, CAST(back AS VARCHAR) AS back_at, {r('(epoch_us(coalesce(back, look)) - epoch_us(ts)) / 1000000', 6, 'seconds')} FROM
+        (SELECT *, TIMESTAMP '{LOOK}' AS look, lead(ts) OVER (PARTITION BY series ORDER BY ts) AS back FROM series WHERE ts <= TIMESTAMP '{LOOK}')
+        WHERE epoch_us(coalesce(back, look)) - epoch_us(ts) > 43200::BIGINT * 1000000""",
+        "requests",
+        series=SERIES_SQL,
+    ),
+)
+def t9_still_on(spark, d):
+    found = mon.absences(_many_series(spark, d), Series(("series",), "ts"), 43200, F.lit(LOOK).cast("timestamp"))
+    return rounded(fx.dated(found), 6)
+
+
 @query(
     "t10_unusual_volume",
     fx.sql(
@@ -377,9 +400,18 @@ def t8_stream(spark, d):
     return _with_rocksdb(spark, lambda: fx.dated(_streamed(spark, stream, "held")))
 
 
-@query("t9_stream_absences")
+@query(
+    "t9_stream_absences",
+    fx.sql(
+        """SELECT series, CAST(ts AS VARCHAR) AS gone_from, CAST(ts + INTERVAL 1 DAY AS VARCHAR) AS detected_at FROM
+        (SELECT *, lead(ts) OVER (PARTITION BY series ORDER BY ts) AS back FROM series)
+        WHERE (back IS NULL OR back > ts + INTERVAL 1 DAY) AND ts + INTERVAL 1 DAY < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM series)""",
+        "requests",
+        series=SERIES_SQL,
+    ),
+)
 def t9_stream(spark, d):
-    rows = fx.requests(spark, d).select(F.concat_ws("/", "job", F.pmod("client", F.lit(25)).cast("string")).alias("series"), "ts")
+    rows = _many_series(spark, d)
     path = _request_files(spark, rows, rows.schema, "series")
     stream = live.missing_series(read_metric_stream(spark, path, rows.schema), 86400)
-    return _with_rocksdb(spark, lambda: fx.dated(_streamed(spark, stream, "missing")))
+    return fx.dated(_streamed(spark, stream, "missing"))

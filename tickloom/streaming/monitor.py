@@ -15,6 +15,8 @@ from tickloom.functions.columns import ratio
 from tickloom.operators.monitor import ERROR_RATIO, SLIDE_S, VOLUME_HIGH, VOLUME_LOW, WINDOW_S, is_error
 
 WATERMARK = "10 minutes"
+#: Seconds between looks at a running query's reports.
+POLL_S = 0.2
 
 # the processors below travel to the workers whole, so workers need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -59,15 +61,17 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
         .trigger(availableNow=True)
         .start(path)
     )
-    started.awaitTermination()
-    late = 0
-    for progress in started.recentProgress:
-        late += sum(op.get("numRowsDroppedByWatermark", 0) for op in progress["stateOperators"])
-    return late
+    # a query keeps the reports of its last batches only, so they are read while it runs
+    late: dict[int, int] = {}
+    ended = False
+    while not ended:
+        ended = started.awaitTermination(POLL_S)
+        for progress in started.recentProgress:
+            late[progress["batchId"]] = sum(op.get("numRowsDroppedByWatermark", 0) for op in progress["stateOperators"])
+    return sum(late.values())
 
 
 HELD = "alert string, series string, ts timestamp, since timestamp, firing boolean"
-GONE = "series string, gone_from timestamp, detected_at timestamp"
 
 
 class HoldProcessor(StatefulProcessor):
@@ -96,40 +100,6 @@ class HoldProcessor(StatefulProcessor):
         pass
 
 
-class AbsenceProcessor(StatefulProcessor):
-    """Per series: an event-time timer that a later sample pushes back; when it fires, samples are missing."""
-
-    limit_s = 60
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "ms bigint, us bigint")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        newest = max(batch["ts"].max() for batch in rows)
-        held = self.last.get()
-        if held is not None and held[1] >= newest.value // 1000:
-            return
-        if held is not None:
-            self.handle.deleteTimer(held[0])
-        due = newest.value // 1_000_000 + self.limit_s * 1000
-        self.handle.registerTimer(due)
-        self.last.update((due, newest.value // 1000))
-        return
-        yield
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        held = self.last.get()
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        if held is not None and held[0] == due:
-            yield pd.DataFrame(
-                {"series": [key[0]], "gone_from": [pd.Timestamp(held[1], unit="us")], "detected_at": [pd.Timestamp(due, unit="ms")]}
-            )
-
-    def close(self) -> None:
-        pass
-
-
 def held_alerts(stream: DataFrame) -> DataFrame:
     """Hold evaluation over a stream of (alert, series, ts, breached, hold_s) samples.
 
@@ -143,14 +113,16 @@ def held_alerts(stream: DataFrame) -> DataFrame:
 
 
 def missing_series(stream: DataFrame, limit_s: int = 60) -> DataFrame:
-    """Series without a sample for ``limit_s`` seconds of event time."""
-    processor = AbsenceProcessor()
-    processor.limit_s = limit_s
-    return (
-        stream.withWatermark("ts", WATERMARK)
-        .groupBy("series")
-        .transformWithStateInPandas(processor, outputStructType=GONE, outputMode="Append", timeMode="EventTime")
-    )
+    """A row for each time a series went without a sample for more than ``limit_s`` seconds: (series, gone_from, detected_at).
+
+    Samples within the limit of each other form a session, whatever order or files they come in; the series is gone from the last
+    of them. The row comes once the watermark has passed the limit, also for a series that never comes back. A null series is a series.
+    """
+    # sessions that touch are joined, so samples exactly the limit apart belong together
+    gap = F.session_window("ts", f"{limit_s} seconds")
+    last = F.max("ts")
+    found = stream.withWatermark("ts", WATERMARK).groupBy(gap.alias("w"), "series").agg(last.alias("gone_from"))
+    return found.select("series", "gone_from", (F.col("gone_from") + F.make_dt_interval(secs=F.lit(limit_s))).alias("detected_at"))
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
