@@ -1,9 +1,10 @@
 """Monitoring over request logs, counters and gauges, as batch tables."""
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import ladder, notes, ratio
@@ -76,6 +77,38 @@ def request_rate(
     )
 
 
+#: Windows that a row of the spine stands for before it is spread.
+SPINE_STEP = 1000
+
+
+def with_idle_windows(rates: DataFrame, keys: Sequence[str] = (), window_s: int = WINDOW_S, slide_s: int = SLIDE_S) -> DataFrame:
+    """``rates`` (keys, start, end, n, rate) with a row of none for every window without requests.
+
+    Each key gets all windows from the first to the last of any key, so that a key that has stopped is seen. Keys compare null-safe.
+    """
+    rates = settle(rates, "rates")
+    ends = rates.agg(F.min("start").alias("lo"), F.max("start").alias("hi")).first()
+    if ends.lo is None:
+        return rates
+    step, leap = F.make_dt_interval(secs=F.lit(slide_s)), F.make_dt_interval(secs=F.lit(slide_s * SPINE_STEP))
+    hi = F.lit(ends.hi)
+    spine = rates.select(*keys).distinct() if keys else rates.limit(1).select()
+    spine = spine.withColumn("_leap", F.explode(F.sequence(F.lit(ends.lo), hi, leap)))
+    spine = spine.withColumn("_start", F.explode(F.sequence("_leap", F.least(F.col("_leap") + leap - step, hi), step))).drop("_leap")
+    names = {k: f"_r_{k}" for k in keys}
+    same = F.col("start") == F.col("_start")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(names[k]))
+    out = rates.join(spine.withColumnsRenamed(names), same, "right")
+    return out.select(
+        *[F.col(names[k]).alias(k) for k in keys],
+        F.col("_start").alias("start"),
+        (F.col("_start") + F.make_dt_interval(secs=F.lit(window_s))).alias("end"),
+        F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce("rate", F.lit(0.0)).alias("rate"),
+    )
+
+
 def tumbling_rate(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", window_s: int = WINDOW_S) -> DataFrame:
     return request_rate(df, keys, ts, window_s, window_s)
 
@@ -107,6 +140,39 @@ def histogram_quantile(
     return counted.select(*keys, *[at(p).alias(name) for name, p in shares.items()])
 
 
+def bucket_quantiles(
+    df: DataFrame, s: Series, shares: dict[str, float], le: str = "le", value: str = "value", window_s: int = WINDOW_S
+) -> DataFrame:
+    """Quantiles from cumulative bucket counters: (keys, start, a column per share) for each tumbling window.
+
+    A sample of a series says how many observations up to the bound ``le`` it has seen; the last bound is infinity. Each bucket's increase
+    within a window is taken with resets of its counter corrected. A quantile is linear inside its bucket, the first of which begins at 0; beyond
+    the last finite bound that bound is given. Windows without observations or without the infinite bucket give null.
+    """
+    buckets = Series((*s.keys, le), s.ts, s.tie, s.block_rows)
+    grown = counter_increase(df.where(F.col(le).isNotNull() & F.col(value).isNotNull()), buckets, value)
+    cell = [*s.keys, "start"]
+    counted = grown.groupBy(*s.keys, _bucket(s.ts, window_s).alias("start"), F.col(le).alias("_le")).agg(F.coalesce(F.sum("increase"), F.lit(0.0)).alias("_n"))
+    by_bound = Window.partitionBy(*cell).orderBy("_le")  # a row for each bound
+    # a bucket scraped a moment before a larger one may have seen more
+    counted = counted.withColumn("_upto", F.max("_n").over(by_bound.rowsBetween(Window.unboundedPreceding, 0)))
+    counted = counted.withColumns(
+        {
+            "_before": F.lag("_upto", 1, 0.0).over(by_bound),
+            "_low": F.lag("_le", 1, 0.0).over(by_bound),
+            "_all": F.max(F.when(F.col("_le") == float("inf"), F.col("_upto"))).over(Window.partitionBy(*cell)),
+        }
+    )
+
+    def at(share: float) -> Column:
+        rank = F.col("_all") * share
+        inside = F.col("_low") + (F.col("_le") - F.col("_low")) * F.try_divide(rank - F.col("_before"), F.col("_upto") - F.col("_before"))
+        here = F.when(F.col("_le") == float("inf"), F.col("_low")).when(F.col("_le") <= 0, F.col("_le")).otherwise(F.coalesce(inside, "_le"))
+        return F.min_by(F.when(F.col("_all") > 0, here), F.when(F.col("_upto") >= rank, F.col("_le")))
+
+    return counted.groupBy(*cell).agg(*[at(p).alias(name) for name, p in shares.items()])
+
+
 def error_rates(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", window_s: int = WINDOW_S) -> DataFrame:
     """4xx and 5xx per second, the 5xx share, and whether it is too high, per tumbling window."""
     server, client = F.count_if(is_error(F.col("status"))), F.count_if(is_error(F.col("status"), "4"))
@@ -137,24 +203,50 @@ def counter_rate(df: DataFrame, s: Series, value: str = "value", window_s: int =
     )
 
 
+def instant_rate(df: DataFrame, s: Series, value: str = "value", window_s: int = WINDOW_S) -> DataFrame:
+    """Rate between the last two samples of each tumbling window; null where it has only one."""
+
+    def build(rows: DataFrame, s: Series) -> DataFrame:
+        return rows.withColumn("_since", F.lag(s.ts).over(s.window()))
+
+    start = _bucket(s.ts, window_s)
+    rows = add_features(counter_increase(df, s, value), s, Feature(1, build)).withColumn("start", start)
+    seconds = (F.unix_micros(s.ts) - F.unix_micros("_since")) / 1_000_000
+    rate = F.when(F.col("_since") >= F.col("start"), F.try_divide(F.col("increase"), seconds))
+    return rows.groupBy(*s.keys, "start").agg(F.max_by(F.struct(rate.alias("rate")), F.struct(s.ts, *s.tie)).alias("_last")).select(*s.keys, "start", F.col("_last.rate").alias("rate"))
+
+
+COMPARISONS = {"==": operator.eq, "!=": operator.ne, ">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}
+
+
 def evaluate_rules(df: DataFrame, rules: Sequence[tuple] = RULES) -> DataFrame:
     """Metric samples (.., metric, value) beside every rule on their metric, with ``breached``.
 
-    The rules are a short fixed list, so they travel with the plan.
+    Rules compare by ==, !=, >, <, >= or <=; a null value breaches none and gives null.
     """
+    unknown = sorted({rule[2] for rule in rules} - set(COMPARISONS))
+    if unknown:
+        raise ValueError(f"unknown comparison: {', '.join(unknown)}")
     schema = "alert string, metric string, op string, threshold double, hold_s int, severity string"
-    table = F.broadcast(df.sparkSession.createDataFrame(list(rules), schema))
-    v, limit = F.col("value"), F.col("threshold")
-    test = F.when(F.col("op") == ">", v > limit).when(F.col("op") == "<", v < limit).otherwise(v == limit)
+    table = df.sparkSession.createDataFrame(list(rules), schema)
+    test = F.lit(None).cast("boolean")
+    for name, compare in COMPARISONS.items():
+        test = F.when(F.col("op") == name, compare(F.col("value"), F.col("threshold"))).otherwise(test)
     return df.join(table, "metric").withColumn("breached", test)
 
 
-def hold(df: DataFrame, s: Series, breached: str = "breached", hold_s: str | int = "hold_s") -> DataFrame:
-    """Add ``since`` (start of the current breach) and ``firing`` (breached for the hold time)."""
+def hold(df: DataFrame, s: Series, breached: str = "breached", hold_s: str | int = "hold_s", stale_s: int | None = None) -> DataFrame:
+    """Add ``since`` (start of the current breach) and ``firing`` (breached for the hold time).
+
+    With ``stale_s`` a breach also ends where no sample comes for longer than that; the next one starts anew.
+    """
 
     def mark(rows: DataFrame, s: Series) -> DataFrame:
-        before = F.lag(breached).over(s.window())
-        fresh = F.col(breached) & ~F.coalesce(before, F.lit(False))
+        before = F.coalesce(F.lag(breached).over(s.window()), F.lit(False))
+        if stale_s is not None:
+            gone = F.unix_micros(s.ts) - F.unix_micros(F.lag(s.ts).over(s.window())) > stale_s * 1_000_000
+            before = before & ~F.coalesce(gone, F.lit(False))
+        fresh = F.col(breached) & ~before
         return rows.withColumn("_began", F.when(fresh, F.col(s.ts)))
 
     marked = running(add_features(df, s, Feature(1, mark)), s, {"_run": ("last", "_began")})
@@ -210,6 +302,7 @@ def health_status(n_ok: Column, n_all: Column) -> Column:
 
 def performance_score(df: DataFrame) -> DataFrame:
     """Score 0 to 100 and its band, from health, latency, success rate and batch throughput."""
+    # The points of each part, and the least score of each band.
     health = F.when(F.col("health") == "healthy", 30.0).when(F.col("health") == "degraded", 15.0).otherwise(0.0)
     ms = F.col("response_ms")
     speed = F.when(ms < 100, 25.0).when(ms < 500, 20.0).when(ms < 1000, 15.0).when(ms < 2000, 10.0).otherwise(0.0)
@@ -223,6 +316,7 @@ def performance_score(df: DataFrame) -> DataFrame:
 def performance_advice(df: DataFrame) -> DataFrame:
     """Advice texts from the same facts (``prediction_ms`` and ``n_errors`` of predictions included)."""
     ms = F.col("response_ms")
+    # Bounds and texts.
     texts = notes(
         (F.col("health") != "healthy", "Investigate API health issues"),
         (ms > 1000, "Optimize API response times (currently > 1s)"),

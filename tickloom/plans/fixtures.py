@@ -5,7 +5,7 @@ multiplied by a discount, so that no product lies on a rounding edge).
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,6 +124,18 @@ def counters(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+LATENCY_BOUNDS = (5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, float("inf"))
+
+
+def bucket_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Requests up to each latency bound since midnight, sampled by the hour: (job, le, ts, value). Counters start again every day."""
+    hour = F.date_trunc("hour", "ts").alias("ts")
+    upto = [F.struct(F.lit(b).alias("le"), F.count_if(F.col("latency_ms") <= b).alias("n")) for b in LATENCY_BOUNDS]
+    hours = requests(spark, d).groupBy("job", hour).agg(F.array(*upto).alias("b")).select("job", "ts", F.inline("b"))
+    so_far = Window.partitionBy("job", "le", F.to_date("ts")).orderBy("ts")  # 24 rows at most
+    return hours.select("job", "le", "ts", F.sum("n").over(so_far).cast("double").alias("value"))
+
+
 def history(spark: SparkSession, d: str) -> DataFrame:
     """Training-history shape: one run per priority and status, one epoch per order month."""
     epoch = F.months_between(F.trunc("o_orderdate", "month"), F.lit("1995-01-01").cast("date")).cast("int") + 1
@@ -209,6 +221,12 @@ FIXTURE_SQL = {
         ("requests",),
         """SELECT job, ts, CAST(minute(ts) * 60 + second(ts) AS DOUBLE) AS value FROM requests""",
     ),
+    "bucket_counters": (
+        ("requests",),
+        f"""SELECT job, le, ts, CAST(sum(n) OVER (PARTITION BY job, le, CAST(ts AS DATE) ORDER BY ts) AS DOUBLE) AS value FROM (
+          SELECT job, le, date_trunc('hour', ts) AS ts, count(*) FILTER (WHERE latency_ms <= le) AS n
+          FROM requests, (SELECT unnest([{', '.join(f"'{b}'::DOUBLE" for b in LATENCY_BOUNDS)}]) AS le) GROUP BY ALL)""",
+    ),
     "history": (
         (),
         f"""SELECT o_orderpriority || '/' || o_orderstatus AS run_id,

@@ -75,6 +75,59 @@ def t4(spark, d):
     return rounded(out, 6)
 
 
+def _share_sql(share: float) -> str:
+    """The first bucket that holds the rank, by a search over the window's buckets."""
+    return f"""(SELECT CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (total * {share} - before) / (upto - before) END
+      FROM ranked b WHERE b.job = w.job AND b.start = w.start AND total > 0 AND upto >= total * {share} ORDER BY le LIMIT 1)"""
+
+
+@query(
+    "t4_bucket_quantiles",
+    fx.sql(
+        f"SELECT job, CAST(start AS VARCHAR) AS start, {r(_share_sql(0.5), 6, 'p50')}, {r(_share_sql(0.95), 6, 'p95')} FROM (SELECT DISTINCT job, start FROM ranked) w",
+        "bucket_counters",
+        steps="SELECT *, value - lag(value) OVER (PARTITION BY job, le ORDER BY ts) AS step FROM bucket_counters",
+        grown="""SELECT job, le, time_bucket(INTERVAL '6 hours', ts) AS start, coalesce(sum(CASE WHEN step < 0 THEN value ELSE step END), 0) AS n
+          FROM steps GROUP BY ALL""",
+        ranked="""SELECT *, lag(upto, 1, 0) OVER w AS before, lag(le, 1, 0) OVER w AS low, max(upto) OVER (PARTITION BY job, start) AS total
+          FROM (SELECT *, max(n) OVER (PARTITION BY job, start ORDER BY le) AS upto FROM grown) WINDOW w AS (PARTITION BY job, start ORDER BY le)""",
+    ),
+)
+def t4_buckets(spark, d):
+    out = mon.bucket_quantiles(fx.bucket_counters(spark, d), JOB, {"p50": 0.5, "p95": 0.95}, window_s=21600)
+    return rounded(fx.dated(out), 6)
+
+
+@query(
+    "t2_idle_windows",
+    fx.sql(
+        f"""SELECT job, CAST(start AS VARCHAR) AS start, CAST(start + INTERVAL '5 minutes' AS VARCHAR) AS "end", coalesce(n, 0) AS n, {r('coalesce(n, 0) / 300', 9, 'rate')}
+        FROM (SELECT DISTINCT job FROM requests) CROSS JOIN spine LEFT JOIN counted USING (job, start)""",
+        "requests",
+        counted=f"SELECT job, {START} AS start, count(*) AS n FROM requests GROUP BY ALL",
+        spine="SELECT unnest(generate_series((SELECT min(start) FROM counted), (SELECT max(start) FROM counted), INTERVAL '5 minutes')) AS start",
+    ),
+)
+def t2_idle(spark, d):
+    rates = mon.tumbling_rate(fx.requests(spark, d), ["job"])
+    return rounded(fx.dated(mon.with_idle_windows(rates, ["job"], slide_s=mon.WINDOW_S)), 9)
+
+
+@query(
+    "t1_t10_idle_volume",
+    fx.sql(
+        f"SELECT CAST(start AS VARCHAR) AS start, coalesce(n, 0)::BIGINT AS n, {r('coalesce(n, 0) / 300', 9, 'rate')} FROM spine LEFT JOIN c USING (start) WHERE coalesce(n, 0) / 300 > 100 OR coalesce(n, 0) / 300 < 0.1",
+        "requests",
+        s=SLIDING,
+        c="SELECT start, sum(n) AS n FROM s GROUP BY start",
+        spine="SELECT unnest(generate_series((SELECT min(start) FROM c), (SELECT max(start) FROM c), INTERVAL '1 minute')) AS start",
+    ),
+)
+def t10_idle(spark, d):
+    rates = mon.with_idle_windows(mon.request_rate(fx.requests(spark, d)))
+    return rounded(fx.dated(mon.unusual_volume(rates).select("start", "n", "rate")), 9)
+
+
 @query(
     "t5_error_rates",
     fx.sql(
@@ -100,6 +153,19 @@ def t6(spark, d):
     return rounded(fx.dated(mon.counter_rate(fx.counters(spark, d), JOB)), 9)
 
 
+@query(
+    "t6_instant_rate",
+    fx.sql(
+        f"""SELECT job, CAST(start AS VARCHAR) AS start, {r('CASE WHEN since >= start THEN grown / ((epoch_us(ts) - epoch_us(since)) / 1000000) END', 6, 'rate')} FROM
+        (SELECT *, {START} AS start, CASE WHEN value < before THEN value ELSE value - before END AS grown, row_number() OVER (PARTITION BY job, {START} ORDER BY ts DESC) AS k FROM
+        (SELECT *, lag(value) OVER w AS before, lag(ts) OVER w AS since FROM counters WINDOW w AS (PARTITION BY job ORDER BY ts))) WHERE k = 1""",
+        "counters",
+    ),
+)
+def t6_instant(spark, d):
+    return rounded(fx.dated(mon.instant_rate(fx.counters(spark, d), JOB)), 6)
+
+
 def samples(spark, d):
     """Metric samples per 5 minutes: error share and request rate over all jobs."""
     rates = mon.error_rates(fx.requests(spark, d)).select(F.col("start").alias("ts"), F.lit("error_ratio").alias("metric"), F.col("error_ratio").alias("value"))
@@ -123,6 +189,20 @@ def t7(spark, d):
     return fx.dated(mon.evaluate_rules(samples(spark, d)).select("ts", "metric", "alert", "op", "hold_s", "breached"))
 
 
+@query(
+    "t7_all_comparisons",
+    fx.sql(
+        """SELECT CAST(ts AS VARCHAR) AS ts, op, CASE op WHEN '==' THEN value = 0 WHEN '!=' THEN value <> 0 WHEN '>' THEN value > 0 WHEN '<' THEN value < 0
+        WHEN '>=' THEN value >= 0 ELSE value <= 0 END AS breached FROM samples, (SELECT unnest(['==', '!=', '>', '<', '>=', '<=']) AS op) WHERE metric = 'error_ratio'""",
+        "requests",
+        **SAMPLE_CTES,
+    ),
+)
+def t7_comparisons(spark, d):
+    rules = [("any", "error_ratio", op, 0.0, 0, "info") for op in mon.COMPARISONS]
+    return fx.dated(mon.evaluate_rules(samples(spark, d), rules).select("ts", "op", "breached"))
+
+
 RULE_SERIES = Series(("alert", "op"), "ts")
 HOLD_CTES = {
     "marked": "SELECT *, breached AND NOT lag(breached, 1, false) OVER (PARTITION BY alert, op ORDER BY ts) AS fresh FROM tested",
@@ -145,6 +225,21 @@ def t8(spark, d):
     return fx.dated(held.select("alert", "op", "ts", "breached", "since", "firing"))
 
 
+@query(
+    "t8_hold_until_stale",
+    fx.sql(
+        "SELECT alert, op, CAST(ts AS VARCHAR) AS ts, breached, CAST(since AS VARCHAR) AS since, coalesce(epoch(ts) - epoch(since) >= hold_s, false) AS firing FROM held",
+        "requests",
+        **SAMPLE_CTES,
+        **{**HOLD_CTES, "marked": """SELECT *, breached AND (NOT lag(breached, 1, false) OVER w OR epoch(ts) - epoch(lag(ts, 1, ts) OVER w) > 600) AS fresh FROM tested
+          WINDOW w AS (PARTITION BY alert, op ORDER BY ts)"""},
+    ),
+)
+def t8_stale(spark, d):
+    held = mon.hold(mon.evaluate_rules(samples(spark, d)), RULE_SERIES, stale_s=600)
+    return fx.dated(held.select("alert", "op", "ts", "breached", "since", "firing"))
+
+
 @query(
     "t9_absences",
     fx.sql(
