@@ -2,6 +2,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.operators import indicators as ind
 from tickloom.operators import lags
@@ -91,13 +92,42 @@ def test_bursts_are_cut_by_row_count(spark):
     ts = np.concatenate([calm, burst])
     df = spark.createDataFrame(pd.DataFrame({"key": "k", "ts": ts, "sell": np.arange(2000.0)}))
     s = Series(("key",), "ts", block_rows=100)
-    per_block = block_layout(df, s, 0)
+    per_block = block_layout(df, s, 0).cells
     assert per_block.select("_block").distinct().count() >= 10
     got = add_features(df, s, lags.lags(["sell"], [1])).toPandas().sort_values("ts")
     want = pd.DataFrame({"ts": ts, "sell": np.arange(2000.0)}).sort_values("ts")["sell"].shift(1)
     np.testing.assert_allclose(got["sell_lag_1"].astype(float), want)
 
 
+def test_layout_rows_follow_the_blocks(spark):
+    """Half of the rows in two dense seconds of a year, beside a calm series with its own times: cells stay near the number of blocks."""
+    calm = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.sort(np.random.default_rng(4).integers(0, 366 * 86400, 30_000)), unit="s")
+    burst = pd.Timestamp("2024-05-05") + pd.to_timedelta(np.arange(30_000) * 33, unit="us")
+    dense = pd.DataFrame({"key": "k", "ts": np.concatenate([calm, burst])})
+    other = pd.DataFrame({"key": "o", "ts": pd.Timestamp("1990-01-01") + pd.to_timedelta(np.arange(5000), unit="s")})
+    df = spark.createDataFrame(pd.concat([dense, other])).withColumn("sell", F.unix_micros("ts").cast("double"))
+    for keys, rows in ((("key",), df), ((), df.where("key = 'k'").drop("key"))):
+        s = Series(keys, "ts", block_rows=1000)
+        cells = block_layout(rows, s, 50).cells
+        own = cells.where("key = 'k'") if keys else cells
+        assert own.count() <= 200
+        assert own.select("_block").distinct().count() >= 40
+        counted = numbered(rows, s).toPandas().sort_values([*keys, "ts", "pos"])
+        assert (counted["pos"] == (counted.groupby("key") if keys else counted.assign(k=1).groupby("k")).cumcount()).all()
+        moved = add_features(rows, s, lags.lags(["sell"], [37])).toPandas().sort_values([*keys, "ts", "sell"])
+        want = moved.groupby("key")["sell"].shift(37) if keys else moved["sell"].shift(37)
+        np.testing.assert_allclose(moved["sell_lag_37"].astype(float), want)
+    laid = add_features(df, Series(("key",), "ts", block_rows=1000), lags.lags(["sell"], [1]))
+    assert laid.count() == 65_000
+
+
+def test_rows_without_a_time_come_first(spark):
+    rows = [("a", None, 1.0)] * 3 + [("a", i, float(i)) for i in range(500)]
+    df = spark.createDataFrame(rows, "key string, ts int, sell double")
+    got = numbered(df, Series(("key",), "ts", block_rows=40)).where("ts is not null").toPandas()
+    assert (got["pos"] == got["ts"] + 3).all()
+
+
 def test_one_shuffle_and_no_single_partition(data):
     _, df, _ = data
     made = add_features(df, Series(("key",), "ts"), *ind.indicators("sell"), *ind.derived())

@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from tickloom.sources.session import settle
 
+#: Cells of a grid at most, and cells of a series' grid whose counts are summed together first.
 SLOTS = 4096
-REFINE = 64
+GROUP = 64
 
 
 @dataclass(frozen=True)
@@ -76,74 +77,96 @@ def attach(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(renamed, same, "left").drop(*[f"_r{i}" for i in range(len(keys))])
 
 
-def block_layout(df: DataFrame, s: Series, back: int) -> DataFrame | None:
+@dataclass(frozen=True)
+class Layout:
+    """Where the rows of long series go.
+
+    ``start`` has the grid of each long series (keys, _lo, _hi, _parts), ``finer`` the grids of over-full cells (keys, _cell, _lo, _hi, _parts)
+    level by level, and ``cells`` a row for each final cell: ``_from`` is the first row number in it, ``_block`` its block, ``_homes`` the blocks that need its rows.
+    """
+
+    start: DataFrame
+    finer: tuple[DataFrame, ...]
+    cells: DataFrame
+
+
+def _parts(n: Column, s: Series) -> Column:
+    """Cells for ``n`` rows: half a block each on average, so that few are over-full."""
+    return F.greatest(F.lit(2), F.least(F.lit(SLOTS), F.ceil(n * 2 / s.block_rows))).cast("long")
+
+
+def _cell() -> Column:
+    """Part of the grid (_lo, _hi, _parts) that a row lies in, as text: 0 before it, then equal widths, then one behind it; -1 without a time."""
+    t, lo, hi, parts = (F.col(c) for c in ("_tick", "_lo", "_hi", "_parts"))
+    at = F.floor(F.try_divide((t - lo).cast("double") * parts, (hi - lo).cast("double")))
+    inside = F.least(parts, F.coalesce(at, F.lit(0)).cast("long") + 1)
+    return F.when(t.isNull(), -1).when(t < lo, 0).when(t > hi, parts + 1).otherwise(inside).cast("string")
+
+
+def _finer(rows: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the cells of those in the grid's cells cut further."""
+    out = attach(rows, grid, [*keys, "_cell"])
+    deeper = F.when(F.col("_parts").isNotNull(), F.concat(F.col("_cell"), F.lit("/"), _cell())).otherwise(F.col("_cell"))
+    return out.withColumn("_cell", deeper).drop("_lo", "_hi", "_parts")
+
+
+def block_layout(df: DataFrame, s: Series, back: int) -> Layout | None:
     """Blocks of the long series, or None when every series fits one task.
 
-    Row counts per (key, time slot) are combined on the map side; the slot width is refined until
-    no slot holds more than ``block_rows`` rows, so blocks follow the data's density. Only
-    scalars reach the driver. One row per slot of a long series:
-    ``_from``/``_homes``: first row number of the slot, and the blocks that need its rows.
+    Each long series has its own grid over its own times. Row counts per (key, cell) are combined on the map side; only cells with more rows than
+    a block are cut again, between the hundredths at either end of their times, so that a burst is found at once and calm stretches keep
+    their few cells. Prefix sums of the counts go by groups of cells, and only the groups' sums by series. The driver gets scalars.
     """
     keys = list(s.keys)
     timed = df.select(*keys, _ticks(df, s).alias("_tick"))
-    per_key = timed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_tick").alias("lo"), F.max("_tick").alias("hi")
-    )
-    top = per_key.agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
-    if top is None or top.n is None or top.n <= s.block_rows or top.lo is None:
+    per_key = timed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_tick").alias("_lo"), F.max("_tick").alias("_hi"))
+    top = per_key.agg(F.max("n").alias("n"), F.max("_hi").alias("hi")).first()
+    if top.n is None or top.n <= s.block_rows or top.hi is None:
         return None
 
-    whole = isinstance(top.lo, int)
-    smallest = 1 if whole else 0.0
-    width = max((top.hi - top.lo) // SLOTS, 1) if whole else (top.hi - top.lo) / SLOTS
+    start = settle(per_key.where(F.col("n") > s.block_rows).select(*keys, "_lo", "_hi", _parts(F.col("n"), s).alias("_parts")), "long-series")
+    rows = attach(timed, start, keys).where("_parts is not null").withColumn("_cell", _cell()).select(*keys, "_tick", "_cell")
+    done, finer = [], []
     while True:
-        counts = settle(_slot_counts(timed, s, top.lo, width), "slots")
-        fullest = counts.agg(F.max("_rows")).first()[0]
-        if fullest <= s.block_rows or width <= smallest:
-            break
-        finer = max(width // REFINE, 1) if whole else width / REFINE
-        if finer == width or (not whole and finer < abs(top.hi) * 1e-15):
+        counts = rows.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_rows"), F.min("_tick").alias("_first"), F.max("_tick").alias("_last"))
+        counts = settle(counts, "cells")
+        # rows of one instant stay together
+        full = F.coalesce((F.col("_rows") > s.block_rows) & (F.col("_first") < F.col("_last")), F.lit(False))
+        done.append(counts.where(~full).select(*keys, "_cell", "_rows", "_first"))
+        over = counts.where(full).select(*keys, "_cell", F.lit(True).alias("_over"))
+        if over.isEmpty():
             break
-        width = finer
-
-    by_slot = Window.partitionBy(*keys).orderBy("_slot")
-    blocks = (
-        counts.withColumn("_end", F.sum("_rows").over(by_slot.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_from", F.col("_end") - F.col("_rows"))
-        .withColumn("_block", F.floor(F.try_divide("_from", F.lit(s.block_rows))))
-        .withColumn("_next", F.lead("_block").over(by_slot))
-    )
-    homes = F.array("_block")
-    if back > 0:
-        # a slot is needed by each block that begins within `back` rows of the slot's end
-        reach = Window.partitionBy(*keys).orderBy("_end").rangeBetween(0, back - 1)
-        homes = F.array_union(homes, F.array_compact(F.collect_set("_next").over(reach)))
-    layout = blocks.select(
-        *keys,
-        "_slot",
-        "_from",
-        "_block",
-        homes.alias("_homes"),
-        F.lit(width).alias("_width"),
-        F.lit(top.lo).alias("_origin"),
-    )
-    return settle(layout, "layout")
-
-
-def _slot(tick: Column, origin, width) -> Column:
-    if width == 0:
-        return F.lit(0).cast("long")
-    return F.floor(F.try_divide((tick - F.lit(origin)).cast("double"), F.lit(float(width)))).cast("long")
-
-
-def _slot_counts(timed: DataFrame, s: Series, origin, width) -> DataFrame:
-    """Rows per slot, kept for series longer than one block only."""
-    counts = (
-        timed.groupBy(*s.keys, _slot(F.col("_tick"), origin, width).alias("_slot"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_total", F.sum("_rows").over(Window.partitionBy(*s.keys)))
-    )
-    return counts.where(F.col("_total") > s.block_rows).drop("_total")
+        rows = attach(rows, over, [*keys, "_cell"]).where("_over").drop("_over")
+        ends = rows.groupBy(*keys, "_cell").agg(F.percentile_approx("_tick", [0.01, 0.99], 1000).alias("p"), F.count(F.lit(1)).alias("n"))
+        grid = settle(ends.select(*keys, "_cell", F.col("p")[0].alias("_lo"), F.col("p")[1].alias("_hi"), _parts(F.col("n"), s).alias("_parts")), "finer-cells")
+        finer.append(grid)
+        rows = _finer(rows, grid, keys)
+
+    cells = done[0]
+    for more in done[1:]:
+        cells = cells.unionByName(more)
+    cells = cells.withColumn("_group", F.floor(F.substring_index("_cell", "/", 1).cast("long") / GROUP))
+    # a row for each group, some sixty of a series
+    by_group = Window.partitionBy(*keys).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = cells.groupBy(*keys, "_group").agg(F.sum("_rows").alias("_sum"))
+    groups = groups.select(*keys, "_group", F.coalesce(F.sum("_sum").over(by_group), F.lit(0)).alias("_base"))
+    by_cell = Window.partitionBy(*keys, "_group").orderBy(F.col("_first").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = attach(cells.withColumn("_upto", F.sum("_rows").over(by_cell)), groups, [*keys, "_group"])
+    end = F.col("_base") + F.col("_upto")
+    placed = summed.select(*keys, "_cell", (end - F.col("_rows")).alias("_from"), end.alias("_end"))
+    placed = placed.withColumn("_block", F.floor(F.try_divide("_from", F.lit(s.block_rows))))
+    if back <= 0:
+        return Layout(start, tuple(finer), settle(placed.select(*keys, "_cell", "_from", "_block", F.array("_block").alias("_homes")), "layout"))
+    placed = settle(placed, "placed-cells")
+    # a cell is needed by each block that begins within `back` rows of the cell's end
+    blocks = placed.groupBy(*keys, F.col("_block").alias("_need")).agg(F.min("_from").alias("_start"))
+    reach = F.floor(F.try_divide(F.col("_end") + back - 1, F.lit(s.block_rows)))
+    needs = placed.select(*keys, "_cell", "_end", F.explode(F.when(reach > F.col("_block"), F.sequence(F.col("_block") + 1, reach))).alias("_need"))
+    needs = attach(needs, blocks, [*keys, "_need"]).where(F.col("_start") < F.col("_end") + back)
+    more = needs.groupBy(*keys, "_cell").agg(F.collect_list("_need").alias("_needs"))
+    homes = F.concat(F.array("_block"), F.coalesce("_needs", F.array().cast("array<bigint>")))
+    laid = attach(placed, more, [*keys, "_cell"]).select(*keys, "_cell", "_from", "_block", homes.alias("_homes"))
+    return Layout(start, tuple(finer), settle(laid, "layout"))
 
 
 def with_blocks(df: DataFrame, s: Series, back: int = 0) -> DataFrame:
@@ -151,22 +174,24 @@ def with_blocks(df: DataFrame, s: Series, back: int = 0) -> DataFrame:
     return _place(df, s, block_layout(df, s, back))
 
 
-def _place(df: DataFrame, s: Series, layout: DataFrame | None) -> DataFrame:
+def _place(df: DataFrame, s: Series, layout: Layout | None) -> DataFrame:
     if layout is None:
         laid = df.withColumn("_home", F.lit(0).cast("long")).withColumn("_own", F.lit(True))
         return laid.withColumn("_pos", (F.row_number().over(s.window()) - 1).cast("long"))
 
-    setting = layout.select("_width", "_origin").first()
-    tagged = df.withColumn("_slot", _slot(_ticks(df, s), setting["_origin"], setting["_width"]))
+    tagged = attach(df.withColumn("_tick", _ticks(df, s)), layout.start, s.keys)
+    tagged = tagged.withColumn("_cell", F.when(F.col("_parts").isNotNull(), _cell())).drop("_lo", "_hi", "_parts")
+    for grid in layout.finer:
+        tagged = _finer(tagged, grid, s.keys)
     laid = (
-        attach(tagged, layout.select(*s.keys, "_slot", "_from", "_block", "_homes"), [*s.keys, "_slot"])
+        attach(tagged, layout.cells, [*s.keys, "_cell"])
         .withColumn("_home", F.explode(F.coalesce("_homes", F.array(F.lit(0).cast("long")))))
         .withColumn("_own", F.col("_home") == F.coalesce("_block", F.lit(0)))
     )
     home = Window.partitionBy(*s.keys, "_home")
     first = F.coalesce(F.min("_from").over(home), F.lit(0))
     laid = laid.withColumn("_pos", (first + F.row_number().over(s.window()) - 1).cast("long"))
-    return laid.drop("_slot", "_from", "_block", "_homes")
+    return laid.drop("_tick", "_cell", "_from", "_block", "_homes")
 
 
 def own_rows(laid: DataFrame) -> DataFrame:
@@ -235,7 +260,7 @@ def running(
     s: Series,
     wanted: dict[str, tuple[str, str]],
     pos: bool = False,
-    layout: DataFrame | None | str = "find",
+    layout: Layout | None | str = "find",
 ) -> DataFrame:
     """Prefix results over whole series: name -> (kind, column).
 

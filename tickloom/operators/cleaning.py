@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import no_nan
-from tickloom.operators.blocks import Series, attach, block_layout, running
+from tickloom.operators.blocks import Layout, Series, attach, block_layout, running
 from tickloom.operators.quality import as_number, as_time
 from tickloom.operators.quantiles import quantiles
 from tickloom.sources.session import settle
@@ -51,7 +51,7 @@ def fill(
     s: Series,
     columns: Sequence[str],
     strategy: str = "forward_fill",
-    layout: DataFrame | None | str = "find",
+    layout: Layout | None | str = "find",
 ) -> DataFrame:
     """Fill nulls per series.
 
@@ -191,7 +191,7 @@ def replace_outliers(
     columns: Sequence[str],
     method: str = "iqr",
     threshold: float | None = None,
-    layout: DataFrame | None | str = "find",
+    layout: Layout | None | str = "find",
 ) -> DataFrame:
     """Outliers become gaps, and gaps are interpolated."""
     flagged = flag_outliers(df, s.keys, columns, method, threshold)
