@@ -279,3 +279,54 @@ def test_raw_json_array_and_sinks(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+@pytest.mark.parametrize("sorted_values, cells", [(20_000, 1024), (50, 8), (1, 2)])
+def test_quantiles_are_narrowed_to_what_a_task_sorts(spark, monkeypatch, sorted_values, cells):
+    from tickloom.operators import quantiles as q
+
+    monkeypatch.setattr(q, "SORTED_VALUES", sorted_values)
+    monkeypatch.setattr(q, "CELLS", cells)
+    rng = np.random.default_rng(7)
+    parts = {
+        "smooth": rng.normal(0, 1e6, 30_000),
+        "ties": rng.choice([1.0, 2.0], 25_000),
+        "far": np.concatenate([rng.normal(0, 1e-9, 15_000), [1e12, -1e12]]),
+        "flat": np.full(12_000, 3.5),
+        "short": rng.normal(0, 1, 57),
+        "none": np.array([np.nan, np.nan]),
+    }
+    pdf = pd.concat([pd.DataFrame({"key": k, "x": v, "y": v[::-1] * 2}) for k, v in parts.items()])
+    df = spark.createDataFrame(pdf.astype({"key": object})).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in "xy"})
+    wanted = {"lo": ("x", 0.0), "q1": ("x", 0.25), "mid": ("x", 0.5), "y9": ("y", 0.9), "hi": ("y", 1.0)}
+    got = q.quantiles(df, ["key"], wanted).toPandas().set_index("key")
+    assert sorted(got.index) == sorted(parts)
+    for name, (c, p) in wanted.items():
+        for k, v in parts.items():
+            want = np.nan if k == "none" else np.quantile(v if c == "x" else v * 2, p)
+            np.testing.assert_allclose(float(got.loc[k, name]), want, rtol=1e-12, atol=1e-21, err_msg=f"{name} {k}")
+    whole = q.quantiles(df.where("key <> 'far'"), [], wanted).toPandas().iloc[0]
+    pooled = np.concatenate([v for k, v in parts.items() if k not in ("far", "none")])
+    for name, (c, p) in wanted.items():
+        np.testing.assert_allclose(whole[name], np.quantile(pooled if c == "x" else pooled * 2, p), rtol=1e-12)
+
+
+def test_no_task_sorts_more_than_its_bound_of_many_distinct_values(spark, monkeypatch):
+    """Ten million distinct values: what is collected for a rank stays under the bound."""
+    from tickloom.operators import quantiles as q
+
+    seen = []
+    plain = q.settle
+
+    def watched(df, label):
+        out = plain(df, label)
+        if label == "rank-cells":
+            seen.append(out.where("_lo < _hi").agg(F.max("_c")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(q, "settle", watched)
+    monkeypatch.setattr(q, "SORTED_VALUES", 500)
+    df = spark.range(10_000_000, numPartitions=16).select(((F.col("id") * 7_368_787) % 10_000_019).cast("double").alias("x"))
+    got = q.quantiles(df, [], {"a": ("x", 0.5), "b": ("x", 0.99)}).first()
+    values = (np.arange(10_000_000, dtype=np.int64) * 7_368_787) % 10_000_019
+    assert seen[-1] <= 500 and (got.a, got.b) == (np.quantile(values, 0.5), np.quantile(values, 0.99))
