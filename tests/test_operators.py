@@ -1,4 +1,5 @@
 """Edge cases with hand-computed or brute-force answers."""
+import datetime as dt
 import math
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import normal_quantile, pct_change_or_zero
-from tickloom.operators import cleaning, explore, forecast, metrics, monitor, quality, residuals, runs, scaling, sequences
+from tickloom.operators import cleaning, explore, forecast, linear, metrics, monitor, quality, residuals, runs, scaling, sequences
 from tickloom.operators.blocks import Series
 from tickloom.operators.quantiles import quantiles
 from tickloom.sources import readers, writers
@@ -330,3 +331,71 @@ def test_no_task_sorts_more_than_its_bound_of_many_distinct_values(spark, monkey
     got = q.quantiles(df, [], {"a": ("x", 0.5), "b": ("x", 0.99)}).first()
     values = (np.arange(10_000_000, dtype=np.int64) * 7_368_787) % 10_000_019
     assert seen[-1] <= 500 and (got.a, got.b) == (np.quantile(values, 0.5), np.quantile(values, 0.99))
+
+
+def lag_table(x, lags):
+    x = np.asarray(x, float)
+    return np.column_stack([np.ones(len(x)), *[np.r_[np.full(k, np.nan), x[:-k]] for k in lags]]), x
+
+
+def test_fits_of_several_lags_equal_least_squares(spark):
+    rng = np.random.default_rng(3)
+    x = 1e4 + rng.normal(0, 1, 300).cumsum()
+    x[40] = np.nan
+    df = series(spark, [None if np.isnan(v) else float(v) for v in x]).unionByName(series(spark, [1.0, 2.0, 3.0], "short")).unionByName(series(spark, [5.0] * 60, "flat"))
+    sets = [{"lags": [1]}, {"lags": [1, 2, 7]}, {"lags": [2], "ridge": 50.0}]
+    got = {(r.key, r.set): r for r in linear.linear_search(df, Series(("key",), "ts", block_rows=70), "x", sets).collect()}
+    assert len(got) == 9
+    whole, y = lag_table(x, (1, 2, 7))
+    use = ~np.isnan(whole).any(axis=1) & ~np.isnan(y)
+    at = np.arange(300)
+    train, valid = use & (at < 240), use & (at >= 240) & (at < 270)
+    for i, p in enumerate(sets):
+        a, t = lag_table(x, p["lags"])
+        mean = np.nanmean(x)
+        c = np.column_stack([a[:, 0], a[:, 1:] - mean])
+        w = np.linalg.solve(c[train].T @ c[train] + np.diag([0] + [p.get("ridge", 0.0)] * len(p["lags"])), c[train].T @ (t[train] - mean))
+        r = got["a", i]
+        np.testing.assert_allclose(r.weights, w[1:], rtol=1e-6)
+        np.testing.assert_allclose(r.rmse, np.sqrt(np.mean((t[valid] - mean - c[valid] @ w) ** 2)), rtol=1e-6)
+        np.testing.assert_allclose(r.intercept, w[0] + mean * (1 - w[1:].sum()), rtol=1e-5, atol=1e-4)
+        assert (r.n_train, r.n_valid) == (train.sum(), valid.sum())
+        assert got["short", i].weights is None and got["short", i].rmse is None
+        assert got["flat", i].rmse == pytest.approx(0.0, abs=1e-9)
+    best = {r.key: r for r in linear.best_fit(linear.linear_search(df, S, "x", sets), ["key"]).collect()}
+    assert best["a"].rmse == min(got["a", i].rmse for i in range(3)) and set(best) == {"a", "flat"}
+
+
+def test_backtests_fit_every_fold(spark):
+    rng = np.random.default_rng(9)
+    x = 50 + rng.normal(0, 1, 100).cumsum()
+    df = series(spark, [float(v) for v in x]).unionByName(series(spark, [1.0, 2.0], "short"))
+    fits, ahead = linear.linear_backtest(df, Series(("key",), "ts", block_rows=30), "x", (1, 2), folds=4)
+    a, y = lag_table(x, (1, 2))
+    got, seen = {r.fold: r for r in fits.collect()}, {(r.fold, r.ts): r for r in ahead.collect()}
+    assert sorted(got) == [1, 2, 3, 4] and len(seen) == 80
+    for f in range(1, 5):
+        first = 100 - 20 * (5 - f)
+        w = np.linalg.lstsq(a[2:first], y[2:first], rcond=None)[0]
+        np.testing.assert_allclose([got[f].intercept, *got[f].weights], w, rtol=1e-6)
+        assert got[f].n_train == first - 2
+        for t in range(first, first + 20):
+            np.testing.assert_allclose(seen[f, t].y_pred, a[t] @ w, rtol=1e-9)
+
+
+def test_bucket_quantiles_with_resets_and_idle_windows(spark):
+    rows = [("a", le, t, v) for t, counts in ((0, (0, 0, 0)), (10, (4, 8, 10)), (20, (1, 1, 2)), (320, (1, 1, 2)), (620, (1, 1, 9))) for le, v in zip((1.0, 2.0, float("inf")), counts, strict=True)]
+    df = spark.createDataFrame([(k, le, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t), float(v)) for k, le, t, v in rows], "key string, le double, ts timestamp, value double")
+    got = {r.start.minute: (r.p50, r.p95) for r in monitor.bucket_quantiles(df, S, {"p50": 0.5, "p95": 0.95}).collect()}
+    # increases 5, 9, 12 after the reset; none; then all beyond the last bound
+    assert got == {0: (1 + 1 / 4, 2.0), 5: (None, None), 10: (2.0, 2.0)}
+
+
+def test_rules_take_known_comparisons_only(spark):
+    df = spark.createDataFrame([("m", 1.0), ("m", None)], "metric string, value double")
+    rules = [("a", "m", op, 1.0, 0, "info") for op in monitor.COMPARISONS]
+    got = {(r.op, r.value): r.breached for r in monitor.evaluate_rules(df, rules).collect()}
+    assert [got[op, 1.0] for op in ("==", "!=", ">", "<", ">=", "<=")] == [True, False, False, False, True, True]
+    assert all(got[op, None] is None for op in monitor.COMPARISONS)
+    with pytest.raises(ValueError):
+        monitor.evaluate_rules(df, [("a", "m", "=~", 1.0, 0, "info")])

@@ -5,15 +5,16 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import rounded
 from tickloom.operators import forecast as fc
-from tickloom.operators import lags, runs
+from tickloom.operators import lags, linear, runs
 from tickloom.operators.blocks import Series, add_features
-from tickloom.operators.metrics import metrics
+from tickloom.operators.metrics import fold_metrics, metrics
 from tickloom.operators.residuals import with_errors
 from tickloom.plans import fixtures as fx
 from tickloom.plans.features import SERIES, STAMP
 from tickloom.plans.intake import REQUEST_SQL, VERDICT_SQL, forecast_requests
 from tickloom.plans.registry import query, r
 from tickloom.plans.scoring import MODEL, MODEL_SCORES
+from tickloom.plans.training import RANKED
 from tickloom.sources.session import settle
 
 LATEST = "SELECT key, max(ts) AS last, arg_max(sell, ts) AS price FROM {0} GROUP BY key"
@@ -326,6 +327,78 @@ def e3(spark, d):
     return rounded(runs.best_params(_grid_scores(spark, d), ["key"], ["weight", "damping"]), 3, "rmse")
 
 
+SETS = [{"lags": [k], "ridge": ridge} for k in (1, 2, 5) for ridge in (0.0, 1e9)]
+SEARCH_CTES = {
+    "ranked": RANKED.format("order_quotes"),
+    "lagged": """SELECT key, sell AS y, CASE WHEN pos < floor(n * 0.8::DOUBLE) THEN 'train' WHEN pos < floor(n * 0.9::DOUBLE) THEN 'validation' END AS part,
+      [lag(sell, 1) OVER w, lag(sell, 2) OVER w, lag(sell, 5) OVER w] AS xs FROM ranked WINDOW w AS (PARTITION BY key ORDER BY ts)""",
+    "tried": f"""SELECT key, y, part, set, lag, ridge, CASE lag WHEN 1 THEN xs[1] WHEN 2 THEN xs[2] ELSE xs[3] END AS x FROM lagged,
+      (VALUES {', '.join(f"({i}, {p['lags'][0]}, {p['ridge']}::DOUBLE)" for i, p in enumerate(SETS))}) v(set, lag, ridge) WHERE xs[3] IS NOT NULL""",
+    "fits": """SELECT *, my - w * mx AS b FROM (SELECT key, set, lag, ridge, regr_sxy(y, x) / (regr_sxx(y, x) + any_value(ridge)) AS w, avg(y) AS my, avg(x) AS mx, count(*) AS n_train
+      FROM tried WHERE part = 'train' GROUP BY ALL)""",
+    "tests": """SELECT key, set, any_value(f.lag) AS lag, any_value(f.ridge) AS ridge, any_value(w) AS weight, any_value(b) AS intercept, any_value(n_train) AS n_train, count(*) AS n_valid,
+      sqrt(avg((y - b - w * x) * (y - b - w * x))) AS rmse FROM tried JOIN fits f USING (key, set) WHERE part = 'validation' GROUP BY ALL""",
+}
+SEARCH_SHOWN = f"key, set, lag, ridge, n_train, n_valid, {r('weight', 6, 'weight')}, {r('intercept', 3, 'intercept')}, {r('rmse', 3, 'rmse')}"
+
+
+def _searched(spark, d):
+    return linear.linear_search(fx.order_quotes(spark, d), fx.QUOTE, "sell", SETS)
+
+
+def _search_rows(found):
+    shown = found.select("key", "set", F.col("lags")[0].alias("lag"), "ridge", "n_train", "n_valid", F.col("weights")[0].alias("weight"), "intercept", "rmse")
+    return rounded(rounded(shown, 6, "weight"), 3, "intercept", "rmse")
+
+
+@query("e1_e3_fitted_sets", fx.sql(f"SELECT {SEARCH_SHOWN} FROM tests", "order_quotes", **SEARCH_CTES))
+def e3_sets(spark, d):
+    return _search_rows(_searched(spark, d))
+
+
+@query(
+    "e3_fitted_best",
+    fx.sql(f"SELECT {SEARCH_SHOWN} FROM tests QUALIFY row_number() OVER (PARTITION BY key ORDER BY rmse, set) = 1", "order_quotes", **SEARCH_CTES),
+)
+def e3_fitted(spark, d):
+    return _search_rows(linear.best_fit(_searched(spark, d), ["key"]))
+
+
+FITTED_CTES = {
+    "ranked": RANKED.format("order_quotes"),
+    "rows": "SELECT *, lag(sell) OVER (PARTITION BY key ORDER BY ts) AS x FROM ranked",
+    "folds": """SELECT *, CASE WHEN pos < n - (6 - fold) * (n // 6) THEN 'train' WHEN pos < n - (5 - fold) * (n // 6) THEN 'test' END AS part
+      FROM rows, (SELECT range AS fold FROM range(1, 6))""",
+    "fits": """SELECT key, fold, regr_slope(sell, x) AS w, regr_intercept(sell, x) AS b, count(x) AS n_train FROM folds WHERE part = 'train' GROUP BY ALL""",
+    "ahead": "SELECT key, fold, ts, sell AS y_true, b + w * x AS y_pred FROM folds JOIN fits USING (key, fold) WHERE part = 'test'",
+}
+
+
+@query(
+    "m18_m19_fitted_folds",
+    fx.sql(f"SELECT key, CAST(fold AS INTEGER) AS fold, n_train, {r('w', 6, 'weight')}, {r('b', 3, 'intercept')} FROM fits", "order_quotes", **FITTED_CTES),
+)
+def m18_fits(spark, d):
+    fits, _ = linear.linear_backtest(fx.order_quotes(spark, d), fx.QUOTE, "sell")
+    shown = fits.select("key", "fold", "n_train", F.col("weights")[0].alias("weight"), "intercept")
+    return rounded(rounded(shown, 6, "weight"), 3, "intercept")
+
+
+@query(
+    "m18_m19_fitted_errors",
+    fx.sql(
+        f"""SELECT key, CAST(fold AS INTEGER) AS fold, {r('sqrt(avg((y_true - y_pred) * (y_true - y_pred)))', 3, 'rmse')}, {r('avg(abs(y_true - y_pred))', 3, 'mae')},
+        {r('avg(abs((y_true - y_pred) / y_true)) * 100', 4, 'mape')} FROM ahead GROUP BY ALL""",
+        "order_quotes",
+        **FITTED_CTES,
+    ),
+)
+def m18_errors(spark, d):
+    _, ahead = linear.linear_backtest(fx.order_quotes(spark, d), fx.QUOTE, "sell")
+    scored = fold_metrics(ahead, fx.QUOTE).select("key", "fold", "rmse", "mae", "mape")
+    return rounded(rounded(scored, 3, "rmse", "mae"), 4, "mape")
+
+
 @query(
     "e4_training_summary",
     fx.sql(
