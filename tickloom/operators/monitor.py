@@ -216,6 +216,8 @@ def instant_rate(df: DataFrame, s: Series, value: str = "value", window_s: int =
     return rows.groupBy(*s.keys, "start").agg(F.max_by(F.struct(rate.alias("rate")), F.struct(s.ts, *s.tie)).alias("_last")).select(*s.keys, "start", F.col("_last.rate").alias("rate"))
 
 
+#: Rules that travel with the plan at most; how longer lists are joined is left to Spark.
+BROADCAST_RULES = 10_000
 COMPARISONS = {"==": operator.eq, "!=": operator.ne, ">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}
 
 
@@ -229,6 +231,8 @@ def evaluate_rules(df: DataFrame, rules: Sequence[tuple] = RULES) -> DataFrame:
         raise ValueError(f"unknown comparison: {', '.join(unknown)}")
     schema = "alert string, metric string, op string, threshold double, hold_s int, severity string"
     table = df.sparkSession.createDataFrame(list(rules), schema)
+    if len(rules) <= BROADCAST_RULES:
+        table = F.broadcast(table)
     test = F.lit(None).cast("boolean")
     for name, compare in COMPARISONS.items():
         test = F.when(F.col("op") == name, compare(F.col("value"), F.col("threshold"))).otherwise(test)
