@@ -184,6 +184,51 @@ def test_shapiro_and_qq_against_brute_force(spark, rows):
     assert points["quantile"].is_monotonic_increasing and abs(points["quantile"].sum()) < 1e-6
 
 
+def few_shapiro(x):
+    """W and p of 3 to 11 values, step by step."""
+    from statistics import NormalDist
+
+    x, n, normal = np.sort(np.asarray(x, float)), len(x), NormalDist()
+    m = np.array([normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    u = 1 / np.sqrt(n)
+    last = m[-1] / np.sqrt(m @ m) + np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0], u)
+    a = np.empty(n)
+    if n == 3:
+        a[:] = [-np.sqrt(0.5), 0, np.sqrt(0.5)]
+    elif n <= 5:
+        a[:] = m / np.sqrt((m @ m - 2 * m[-1] ** 2) / (1 - 2 * last**2))
+        a[0], a[-1] = -last, last
+    else:
+        second = m[-2] / np.sqrt(m @ m) + np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0], u)
+        a[:] = m / np.sqrt((m @ m - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2))
+        a[0], a[1], a[-2], a[-1] = -last, -second, second, last
+    w = (a @ x) ** 2 / ((x - x.mean()) ** 2).sum()
+    if n == 3:
+        return w, 6 / np.pi * (np.arcsin(np.sqrt(w)) - np.arcsin(np.sqrt(0.75)))
+    z = -np.log(0.459 * n - 2.273 - np.log(1 - w)) - np.polyval([-6.714e-4, 0.025054, -0.39978, 0.5440], n)
+    return w, 1 - normal.cdf(z / np.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n)))
+
+
+def test_shapiro_of_few_rows(spark):
+    rng = np.random.default_rng(6)
+    made = {f"{kind}{n}": draw for n in range(3, 12) for kind, draw in (("normal", rng.normal(0, 1, n)), ("skewed", rng.exponential(1, n) ** 3))}
+    made |= {"one": [1.0], "two": [1.0, 2.0], "flat": [4.0] * 5, "even": [1.0, 2.0, 3.0]}
+    made |= {f"draw{i}": rng.normal(5, 2, 8) for i in range(1500)}
+    rows = [(k, i, float(v), 0.0) for k, x in made.items() for i, v in enumerate(x)]
+    got = {r.key: r for r in residuals.shapiro_wilk(spark.createDataFrame(rows, "key string, ts int, y_true double, y_pred double"), S).collect()}
+    assert set(got) == set(made)
+    for k, x in made.items():
+        if k in ("one", "two", "flat"):
+            assert got[k].w is None and got[k].p_value is None
+        elif not k.startswith("draw") and k != "even":
+            w, p = few_shapiro(x)
+            assert got[k].w == pytest.approx(w, abs=1e-7) and got[k].p_value == pytest.approx(p, abs=1e-6)
+    assert got["even"].w == pytest.approx(1.0) and got["even"].p_value == pytest.approx(1.0, abs=1e-6)
+    # p is even over normal samples
+    low = np.mean([got[k].p_value < 0.1 for k in made if k.startswith("draw")])
+    assert 0.07 < low < 0.13
+
+
 def test_normal_quantile(spark):
     from statistics import NormalDist
 

@@ -1,6 +1,8 @@
 """Residual diagnostics, labels and the evaluation report."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,11 +124,15 @@ def normality(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"jarque_bera": jb, "jarque_bera_p": jb_p, "dagostino": k2, "dagostino_p": k2_p})
 
 
-# Royston's published polynomials (constant term last), valid for 12 rows and more.
+# Royston's published polynomials (constant term last): weights; mean and spread from 12 rows on, in the log of their number,
+# and for 4 to 11 rows, in their number, after a shift that is linear in it.
 _LAST = (-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0)
 _NEXT = (-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0)
 _MEAN = (0.0038915, -0.083751, -0.31082, -1.5861)
 _SPREAD = (0.0030302, -0.082676, -0.4803)
+_SMALL_SHIFT = (0.459, -2.273)
+_SMALL_MEAN = (-6.714e-4, 0.025054, -0.39978, 0.5440)
+_SMALL_SPREAD = (-0.0020322, 0.062767, -0.77857, 1.3822)
 
 
 def _polynomial(terms, x: Column) -> Column:
@@ -145,10 +151,11 @@ def _upper_tail(z: Column) -> Column:
 
 
 def shapiro_wilk(df: DataFrame, s: Series) -> DataFrame:
-    """Shapiro-Wilk W and p per series of at least 12 rows, from ordered errors.
+    """Shapiro-Wilk W and p per series, from ordered errors.
 
     The weights need only row positions and a few sums, so one aggregation over the ordered rows
-    gives W.
+    gives W. Three rows have exact weights and an exact p, up to five one corrected weight, more two; up to eleven have
+    their own approximation of p. Fewer than three rows, or equal errors only, give null.
     """
     rows = with_errors(df).select(*s.keys, s.ts, *s.tie, E).where(F.col(E).isNotNull())
     ordered = numbered(rows, Series(s.keys, E, (s.ts, *s.tie), s.block_rows))
@@ -169,19 +176,36 @@ def shapiro_wilk(df: DataFrame, s: Series) -> DataFrame:
         (at(n, E) - at(F.lit(1), E)).alias("r1"),
         (at(n - 1, E) - at(F.lit(2), E)).alias("r2"),
         (F.var_pop(E) * F.count(E)).alias("ss"),
-    ).where("n >= 12")
+    )
     u = F.try_divide(F.lit(1.0), F.sqrt(F.col("n")))
     root = F.sqrt("mm")
     a1 = _polynomial(_LAST, u) + ratio("m1", root)
     a2 = _polynomial(_NEXT, u) + ratio("m2", root)
     m1, m2 = F.col("m1"), F.col("m2")
     phi = F.try_divide(F.col("mm") - m1 * m1 * 2 - m2 * m2 * 2, 1 - a1 * a1 * 2 - a2 * a2 * 2)
-    top = a1 * F.col("r1") + a2 * F.col("r2") + ratio("mx", F.sqrt(phi))
-    log_n = F.ln("n")
-    w = F.try_divide(top * top, F.col("ss"))
+    large = a1 * F.col("r1") + a2 * F.col("r2") + ratio("mx", F.sqrt(phi))
+    # with four or five rows only the ends are corrected
+    one = F.try_divide(F.col("mm") - m1 * m1 * 2, 1 - a1 * a1 * 2)
+    small = a1 * F.col("r1") + ratio(F.coalesce("mx", F.lit(0.0)) + m2 * F.col("r2"), F.sqrt(one))
+    n = F.col("n")
+    top = F.when(n == 3, F.col("r1") * math.sqrt(0.5)).when(n.between(4, 5), small).when(n > 5, large)
+    share = F.try_divide(top * top, F.when(F.col("ss") > 0, F.col("ss")))
+    w = F.when(share > 1, 1.0).otherwise(share)
     out = sums.select(*s.keys, "n", w.alias("w"))
-    z = F.try_divide(F.ln(1 - F.col("w")) - _polynomial(_MEAN, log_n), F.exp(_polynomial(_SPREAD, log_n)))
-    return out.withColumn("p_value", _upper_tail(z))
+    short = F.ln(1 - F.col("w"))
+    log_n = F.ln("n")
+    z = F.try_divide(short - _polynomial(_MEAN, log_n), F.exp(_polynomial(_SPREAD, log_n)))
+    shift = _polynomial(_SMALL_SHIFT, n)
+    few = F.try_divide(-F.ln(shift - short) - _polynomial(_SMALL_MEAN, n), F.exp(_polynomial(_SMALL_SPREAD, n)))
+    exact = F.greatest(F.lit(0.0), (F.asin(F.sqrt("w")) - math.asin(math.sqrt(0.75))) * 6 / math.pi)
+    p = (
+        F.when(n == 3, exact)
+        .when(F.col("w") >= 1, 1.0)
+        .when((n <= 11) & (short >= shift), 0.0)
+        .when(n <= 11, _upper_tail(few))
+        .otherwise(_upper_tail(z))
+    )
+    return out.withColumn("p_value", F.when(F.col("w").isNotNull(), p))
 
 
 def residual_outliers(df: DataFrame, s: Series) -> DataFrame:
