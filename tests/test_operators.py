@@ -444,3 +444,20 @@ def test_rules_take_known_comparisons_only(spark):
     assert all(got[op, None] is None for op in monitor.COMPARISONS)
     with pytest.raises(ValueError):
         monitor.evaluate_rules(df, [("a", "m", "=~", 1.0, 0, "info")])
+
+
+def test_boosted_trees_learn_steps_that_lines_cannot(spark):
+    """The next value is a step function of this one; a tree finds the step, a line does not."""
+    x = [0.0]
+    for _ in range(399):
+        x.append((x[-1] + 37) % 100 if x[-1] < 50 else (x[-1] * 0.5 + 3) % 100)
+    df = series(spark, x)
+    errors = {}
+    for algo, settings in (("gbt", {"maxIter": 20, "maxDepth": 4, "seed": 1}), ("linear", {"solver": "normal"})):
+        model = forecast.fit_forecaster(df, S, ["x"], "x", algo, **settings)
+        ahead = {r.ts: r.y_pred for r in forecast.predict(model, df, ["x"]).collect()}
+        errors[algo] = np.mean([abs(ahead[i] - x[i + 1]) for i in range(399)])
+        assert forecast.predict_next(model, df, S, ["x"]).first().y_pred == pytest.approx(ahead[399])
+    assert errors["gbt"] < 0.2 * errors["linear"] and errors["gbt"] < 2.0
+    with pytest.raises(ValueError):
+        forecast.fit_forecaster(df, S, ["x"], "x", "net")
