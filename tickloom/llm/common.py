@@ -61,14 +61,16 @@ class Words:
         self.first = np.searchsorted(self.start, offsets[:-1])
         self.count = np.searchsorted(self.start, offsets[1:]) - self.first
         self.text = np.repeat(np.arange(len(offsets) - 1), self.count)
+        self._sums: np.ndarray | None = None
 
     def hashes(self, upto: np.ndarray | None = None) -> np.ndarray:
         """Content hash of each word, or of its bytes before ``upto``."""
         power, inverse = _powers(len(self.data))
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
+        if self._sums is None:
+            self._sums = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power, out=self._sums[1:])
         end = self.end if upto is None else upto
-        return mixed((sums[end] - sums[self.start]) * inverse[self.start])
+        return mixed((self._sums[end] - self._sums[self.start]) * inverse[self.start])
 
 
 class _Kept(list):

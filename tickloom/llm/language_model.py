@@ -160,30 +160,38 @@ def initial(counts: Counts) -> dict[str, np.ndarray]:
     }
 
 
-def _gather(values: np.ndarray, rows: np.ndarray, into: int) -> np.ndarray:
-    """Sums of ``values`` by row number."""
-    order = np.argsort(rows, kind="stable")
-    at = rows[order]
-    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+def _gather(values: np.ndarray, picked: np.ndarray, rows: np.ndarray, into: int) -> np.ndarray:
+    """Sums of ``values[picked]`` by row number."""
+    order = np.argsort(rows.astype(np.int16), kind="stable")  # two bytes are sorted by counting
+    at = rows.take(order)
+    starts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
     out = np.zeros((into, *values.shape[1:]), np.float32)
-    out[at[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    out[at.take(starts)] = np.add.reduceat(values.take(picked.take(order), axis=0), starts, axis=0)
     return out
 
 
-def _step(p: dict, seen: dict, context: list[np.ndarray], target: np.ndarray, noise: np.ndarray, log_kp: np.ndarray) -> None:
-    """One step of noise-contrastive estimation; all tokens of the batch share the noise words."""
-    vectors = [p["read"][c] for c in context]
-    q = sum(v @ m for v, m in zip(vectors, p["mix"], strict=True))
-    real = np.einsum("bd,bd->b", q, p["write"][target]) + p["bias"][target] - log_kp[target]
-    false = q @ p["write"][noise].T + p["bias"][noise] - log_kp[noise]
+def _step(p: dict, seen: dict, context: np.ndarray, target: np.ndarray, noise: np.ndarray, log_kp: np.ndarray) -> None:
+    """One step of noise-contrastive estimation; all tokens of the batch share the noise words.
+
+    ``context`` has a row per place. Vectors are mixed once per symbol and place, and the gradients of both tables come from the sums per symbol and place.
+    """
+    size, symbols = len(target), _SYMBOLS + 1
+    rows = (context + np.arange(CONTEXT)[:, None] * symbols).ravel()
+    mixed = np.matmul(p["read"], p["mix"]).reshape(CONTEXT * symbols, WIDTH)
+    q = mixed.take(rows, axis=0).reshape(CONTEXT, size, WIDTH).sum(axis=0)
+    write, written = p["write"].take(target, axis=0), p["write"].take(noise, axis=0)
+    real = np.einsum("bd,bd->b", q, write) + (p["bias"] - log_kp).take(target)
+    false = q @ written.T + (p["bias"] - log_kp).take(noise)
     dreal = 1 / (1 + np.exp(-real)) - 1
-    dfalse = 1 / (1 + np.exp(-false))
-    dq = dreal[:, None] * p["write"][target] + dfalse @ p["write"][noise]
+    np.exp(np.negative(false, out=false), out=false)
+    dfalse = np.reciprocal(np.add(false, 1, out=false), out=false)
+    dq = dreal[:, None] * write + dfalse @ written
+    by_place = _gather(dq, np.tile(np.arange(size), CONTEXT), rows, CONTEXT * symbols).reshape(CONTEXT, symbols, WIDTH)
     grads = {
-        "write": _gather(dreal[:, None] * q, target, _SYMBOLS) + _gather(dfalse.T @ q, noise, _SYMBOLS),
+        "write": _gather(dreal[:, None] * q, np.arange(size), target, _SYMBOLS) + _gather(dfalse.T @ q, np.arange(len(noise)), noise, _SYMBOLS),
         "bias": (np.bincount(target, dreal, _SYMBOLS) + np.bincount(noise, dfalse.sum(0), _SYMBOLS)).astype(np.float32),
-        "mix": np.stack([v.T @ dq for v in vectors]),
-        "read": _gather(np.concatenate([dq @ m.T for m in p["mix"]]), np.concatenate(context), _SYMBOLS + 1),
+        "mix": np.matmul(p["read"].T, by_place),
+        "read": np.matmul(by_place, p["mix"].transpose(0, 2, 1)).sum(axis=0),
     }
     for k, g in grads.items():
         seen[k] += g * g
@@ -200,14 +208,15 @@ def _trained(counts: Counts, start: dict[str, np.ndarray]):
         rng, done = np.random.default_rng(11), 0
         share = symbol_shares(light)
         log_kp = np.log(NOISE * share).astype(np.float32)
+        upto = np.cumsum(share)
         for batch in batches:
             for _, offsets, data in text_slices(batch.column("text")):
                 tokens = Tokens(light, offsets, data)
-                context, order = tokens.contexts(), rng.permutation(len(tokens.symbols))
+                context, order = np.stack(tokens.contexts()), rng.permutation(len(tokens.symbols))
                 for i in range(0, len(order), BATCH):
                     part = order[i : i + BATCH]
-                    noise = rng.choice(_SYMBOLS, NOISE, p=share)
-                    _step(p, seen, [c[part] for c in context], tokens.symbols[part], noise, log_kp)
+                    noise = np.minimum(np.searchsorted(upto, rng.random(NOISE), "right"), _SYMBOLS - 1)
+                    _step(p, seen, context.take(part, axis=1), tokens.symbols.take(part), noise, log_kp)
                 done += len(order)
         if done:
             flat = np.concatenate([p[k].ravel() for k in sorted(p)]).astype(np.float64)
@@ -240,21 +249,22 @@ def train(docs: DataFrame, counts: Counts) -> dict[str, np.ndarray]:
 def log_softmax_at(p: dict, context: list[np.ndarray], target: np.ndarray) -> np.ndarray:
     """Normalised natural log probability of each target symbol after its context."""
     out = np.empty(len(target))
-    mixed = [p["read"] @ m for m in p["mix"]]
+    mixed = np.matmul(p["read"], p["mix"]).reshape(-1, WIDTH)
     weights = np.vstack([p["write"].T, p["bias"]])
     steepest, highest = np.linalg.norm(p["write"], axis=1).max(), np.abs(p["bias"]).max()
+    rows = np.stack(context) + np.arange(CONTEXT)[:, None] * len(p["read"])
+    most = min(SCORED, len(target))
+    vectors, scores, ones = np.ones((most, WIDTH + 1), np.float32), np.empty((most, _SYMBOLS), np.float32), np.ones(_SYMBOLS, np.float32)
     for i in range(0, len(target), SCORED):
         to = target[i : i + SCORED]
-        q = np.ones((len(to), WIDTH + 1), np.float32)
-        q[:, :WIDTH] = mixed[0][context[0][i : i + SCORED]]
-        for t, c in zip(mixed[1:], context[1:], strict=True):
-            q[:, :WIDTH] += t[c[i : i + SCORED]]
-        scores = q @ weights
+        q, s = vectors[: len(to)], scores[: len(to)]
+        np.sum(mixed.take(rows[:, i : i + SCORED], axis=0), axis=0, out=q[:, :WIDTH])
+        np.matmul(q, weights, out=s)
         # a bound on the scores tells whether their exponentials can leave the range of a float
-        if np.linalg.norm(q[:, :WIDTH], axis=1).max() * steepest + highest > EXP_RANGE:
-            scores -= scores.max(axis=1, keepdims=True)
-        own = scores[np.arange(len(to)), to].astype(np.float64)
-        out[i : i + SCORED] = own - np.log(np.exp(scores, out=scores).sum(axis=1))
+        if np.sqrt(np.einsum("bd,bd->b", q[:, :WIDTH], q[:, :WIDTH]).max()) * steepest + highest > EXP_RANGE:
+            s -= s.max(axis=1, keepdims=True)
+        own = s[np.arange(len(to)), to].astype(np.float64)
+        out[i : i + SCORED] = own - np.log(np.exp(s, out=s) @ ones)
     return out
 
 
