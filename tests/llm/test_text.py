@@ -165,6 +165,81 @@ def test_templates_hold_the_tokens_that_pages_share(spark):
     assert len({r["class"] for r in got}) == 1
 
 
+SITE = """<html><body><div><ul><li>Menu</li><li>{n} visits</li></ul></div><div>Advert {n}</div>
+<div><h1>Title {n}</h1><div><p>First words of text {n} are long enough.</p>{more}</div><div>Share this article</div></div><div>Imprint {n}</div></body></html>"""
+
+
+def site_pages(spark, numbers, host="a.example"):
+    rows = []
+    for n in numbers:
+        html = SITE.format(n=n, more="".join(f"<p>Further words {n} of paragraph {i}, and some more of them.</p>" for i in range(n % 4)))
+        rows.append((n, f"https://{host}/{n}", html))
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_pages_without_any_mark(spark):
+    for r in html_extract.extract(site_pages(spark, range(8))).collect():
+        more = [f"Further words {r.page_id} of paragraph {i}, and some more of them." for i in range(r.page_id % 4)]
+        assert r.text == " ".join([f"Title {r.page_id}", f"First words of text {r.page_id} are long enough.", *more])
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    page = site_pages(spark, [3])
+    for r in html_extract.extract(page.union(page).union(page).union(site_pages(spark, [3], "b.example"))).collect():
+        assert r.text.startswith("Title 3 First words") and "paragraph 2" in r.text
+
+
+def test_marks_on_the_pages_of_a_host_change_nothing(spark):
+    from pyspark.sql import functions as F
+
+    plain = site_pages(spark, range(8))
+    marked = plain.withColumn("html", F.regexp_replace("html", "<div><h1>", '<div class="article-body"><h1>'))
+    marked = marked.withColumn("html", F.regexp_replace("html", "<div>Share", '<div class="share">Share'))
+    assert sorted(html_extract.extract(marked).collect()) == sorted(html_extract.extract(plain).collect())
+
+
+def test_a_page_of_another_layout_falls_back_on_marks(spark):
+    odd = spark.createDataFrame([(99, "https://a.example/odd", "<html><body><nav>m</nav><section><article><p>odd</p></article><p>aside</p></section></body></html>")], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(site_pages(spark, range(8)).union(odd)).collect()}
+    assert got[99] == "odd" and got[1].startswith("Title 1 First")
+
+
+def test_templates_against_whole_vectors(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        parts = [f"<div>{'<p>x</p>' * rng.choice([1, 2])}<ul><li>a</li><li>b</li></ul></div>"]
+        parts += ["<section><i>s</i><p>t</p></section>"] * rng.choice([0, 1, 1, 1]) + ["<table><tr><td>c</td></tr></table>"] * (i % 5 == 0)
+        rows.append((i, "".join(parts)))
+    schema = "page_id long, tokens array<struct<path:long,parent:long,n:long>>, blocks array<struct<path:long,kind:int,text:string>>"
+    parsed = spark.createDataFrame(rows, "page_id long, html string").mapInArrow(html_extract._parsed, schema)
+    got = html_extract.templates(parsed.selectExpr("'h' AS host", "page_id AS page", "tokens")).collect()
+    vectors = {}
+    for i, html in rows:
+        for token, _, n in html_extract.parse(html)[0].values():
+            vectors.setdefault(token, {})[i] = n
+    valid = {t: tuple(sorted(v.items())) for t, v in vectors.items() if len(v) >= 20 and len(set(v.values())) == 1}
+    assert {r.path for r in got} == set(valid)
+    assert len({r["class"] for r in got}) == len(set(valid.values())) > 1
+    assert all((a["class"] == b["class"]) == (valid[a.path] == valid[b.path]) for a in got for b in got)
+
+
+def test_quotes_in_tags():
+    def texts(html):
+        return [t for _, _, t in html_extract.parse(html)[1]]
+
+    assert texts("<a data=it's>link</a><p>two</p><p>three it's four</p>") == ["link", "two", "three it's four"]
+    assert texts('<a href="x"">link</a>') == ["link"]
+    assert texts('<p title="unclosed>hello') == ["hello"]
+    assert texts("<p title = 'a>b' id=x>in</p>") == ["in"]
+
+
+def test_deep_pages_are_told_apart_below_the_longest_path():
+    tokens, blocks = html_extract.parse("<div>" * 2000 + "<p>a</p><p>b</p><h2>c</h2>")
+    assert len(tokens) == 2002 and len({t for t, _, _ in tokens.values()}) == 2002
+    assert len({place for place, _, _ in blocks}) == 3
+
+
 def test_language_model_against_counts(make):
     rng = random.Random(4)
     halves = [[f"{p}{i}" for i in range(40)] for p in ("ka", "zu")]
