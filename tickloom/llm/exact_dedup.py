@@ -89,7 +89,8 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keys=block_key
     """
     named = settle(name_documents(name_blocks(docs, block_bytes, keys)), "identities")
     best = F.max(F.struct("doc_id", (-F.col("row")).alias("row")))
-    groups = named.groupBy("n", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # written first: a join against plain rows may split the rows of one text over tasks, one that shares its shuffle with the aggregate may not
+    groups = settle(named.groupBy("n", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     return named.join(groups, ["n", "name"]).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
