@@ -18,11 +18,15 @@ def text_slices(column: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int
     """(first row, offsets, bytes) of runs of rows with about ``most`` bytes each; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    # a column is some ten megabytes in each worker, so it is read where it lies
+    if not pa.types.is_string(column.type) and not pa.types.is_large_string(column.type):
+        column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
     if not len(column):
         return
     _, where, data = column.buffers()
-    offsets = np.frombuffer(where, np.int64)[column.offset : column.offset + len(column) + 1]
+    offsets = np.frombuffer(where, np.int32 if pa.types.is_string(column.type) else np.int64)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     first = 0
     while first < len(column):
@@ -67,8 +71,12 @@ class Words:
         """Content hash of each word, or of its bytes before ``upto``."""
         power, inverse = _powers(len(self.data))
         if self._sums is None:
+            # in place: eight bytes a byte of text for every step would be most of a worker's memory
             self._sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power, out=self._sums[1:])
+            each = self._sums[1:]
+            np.add(self.data, np.uint64(1), out=each)
+            each *= power
+            np.cumsum(each, out=each)
         end = self.end if upto is None else upto
         return mixed((self._sums[end] - self._sums[self.start]) * inverse[self.start])
 

@@ -21,6 +21,8 @@ WINDOW = 10
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A hit is packed as position * 2**8 + words of the window.
 _PACK = 256
+#: Bytes of text that a task fingerprints at once.
+_SLICE = 1 << 19
 
 
 def gram_length(window: int) -> int:
@@ -57,7 +59,7 @@ def _winnowed(lengths: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep, fold = alphanumeric(), lower_ascii()
         for batch in batches:
-            for first, offsets, data in text_slices(batch.column("text")):
+            for first, offsets, data in text_slices(batch.column("text"), _SLICE):
                 words = Words(offsets, data, keep, fold)
                 for m in lengths:
                     at, fp = fingerprints(words, m)
@@ -99,7 +101,7 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word count of each document and, around its hits, the windows that may be a benchmark's."""
     keep, fold = alphanumeric(), lower_ascii()
     for batch in batches:
-        counts = [Words(offsets, data, keep, fold).count for _, offsets, data in text_slices(batch.column("text"))]
+        counts = [Words(offsets, data, keep, fold).count for _, offsets, data in text_slices(batch.column("text"), _SLICE)]
         starts, wins = [], []
         for text, hits in zip(batch.column("text"), batch.column("hits"), strict=True):
             at, around = [], []
