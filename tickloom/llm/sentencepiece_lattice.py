@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 Words are exploded into substrings of bounded length, which meet the piece table in an equi-join; the pieces found
-are the edges of the word's lattice, grouped by word, and the best path is folded over them with a higher-order
-aggregate. Texts are first cut wherever no piece has the two characters around the cut, so that words are short and recur.
-Documents are dealt into blocks of some thousand and kept as word numbers. Each different word is solved once; its path
-goes to the blocks that have it, once to each, and the documents are put together there. A block is bounded, so a frequent word loads no task.
+are the edges of the word's lattice, grouped by word, and the best path is found over the edges of many words at a time, by array operations. Texts are first cut wherever no piece has the two characters around the cut, so that words are short and recur.
+Documents are dealt into blocks of some thousand and kept as word numbers. Each different word is solved once for the blocks of
+a thousand tasks; its path goes to the blocks that have it, once to each, and the documents are put together there. A block is
+bounded, so a frequent word loads no task.
 """
 from __future__ import annotations
 
@@ -12,18 +12,29 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import text_slices
+
 SPACE = "▁"
 #: A block ends when it has so many different words, or so many bytes of text.
-BLOCK_WORDS = 1 << 17
-BLOCK_BYTES = 1 << 24
+BLOCK_WORDS = 1 << 19
+BLOCK_BYTES = 1 << 25
+#: Bits of a word's place: task, block of the task and number of the word.
+TASK_BITS, SERIAL_BITS, CODE_BITS = 20, 17, 26
+#: Bits of an edge: end (the rest), size and piece; unknown characters are negative pieces.
+SIZE_BITS, ID_BITS = 10, 22
+END_SHIFT, UNKNOWN_IDS = SIZE_BITS + ID_BITS, 1 << ID_BITS - 1
+#: Bytes of text that are cut at once, rows that are looked at for them, words sent at once, and documents put together at once.
+RUN_BYTES, RUN_ROWS, SENT_WORDS, CODED_ROWS = 1 << 20, 256, 1 << 16, 128
+#: Tasks whose words share one solution of a word, as a power of two: bounds the places that go with it.
+SHARING_BITS = 10
 #: Tasks that solve words, per shuffle partition of the session.
 SOLVING_TASKS = 8
 #: Fixed values of the model format: kinds of pieces, and what an unknown character costs beyond the worst piece.
@@ -112,33 +123,19 @@ def inner_pairs(pieces: Pieces) -> frozenset[str]:
     return frozenset(t[i : i + 2] for t in usable for i in range(len(t) - 1))
 
 
-class _Numbers(dict):
-    """Numbers of the words of a block, by the stretch of text that the word pattern found."""
-
-    def __init__(self, pairs: frozenset[str]) -> None:
-        self.pairs, self.words = pairs, {}
-
-    def __missing__(self, found: str) -> tuple[int, ...]:
-        cuts = [i for i in range(1, len(found)) if found[i - 1 : i + 1] not in self.pairs]
-        parts = [found[a:b] for a, b in zip([0, *cuts], [*cuts, len(found)], strict=True)]
-        out = self[found] = tuple(self.words.setdefault(w, len(self.words)) for w in parts)
-        return out
-
-
-def pack_numbers(x: np.ndarray) -> bytes:
-    """Seven bits a byte, lowest first, the top bit set on all but a number's last byte."""
-    x = x.astype(np.uint64)
-    size = 1 + sum((x >> np.uint64(7 * i) > 0).astype(np.int64) for i in range(1, 5))
-    out = np.empty(int(size.sum()), np.uint8)
-    start = np.cumsum(size) - size
+def pack_numbers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bytes of each number): seven bits a byte, lowest first, the top bit set on all but a number's last byte."""
+    size = 1 + sum((x >> (7 * i) > 0).astype(np.int8) for i in range(1, 5))
+    ends = np.cumsum(size, dtype=np.int64)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    start = ends - size
     for i in range(int(size.max(initial=0))):
         has = size > i
-        out[start[has] + i] = (x[has] >> np.uint64(7 * i) & np.uint64(0x7F)).astype(np.uint8) | ((size[has] > i + 1) << 7).astype(np.uint8)
-    return out.tobytes()
+        out[start[has] + i] = (x[has] >> (7 * i) & 0x7F).astype(np.uint8) | ((size[has] > i + 1).astype(np.uint8) << 7)
+    return out, size
 
 
-def unpack_numbers(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
+def unpack_numbers(raw: np.ndarray) -> np.ndarray:
     last = np.flatnonzero(raw < 0x80)
     start = np.r_[0, last[:-1] + 1][: len(last)]
     out = np.zeros(len(last), np.int64)
@@ -148,106 +145,203 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return out
 
 
+def _bounds(sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Offsets of lists that hold elements of such sizes and begin at element ``at``."""
+    return np.append(0, np.cumsum(sizes, dtype=np.int64))[at].astype(np.int32)
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of packed ones, and at which of them each row begins and the last ends."""
+    if not len(column):
+        return np.empty(0, np.int64), np.zeros(1, np.int64)
+    _, where, data = column.buffers()
+    where = np.frombuffer(where, np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data if data is not None else b"", np.uint8)[where[0] : where[-1]]
+    return unpack_numbers(raw), np.append(0, np.cumsum(raw < 0x80))[where - where[0]]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, offsets, bytes of their texts) of runs of rows with about ``most`` bytes each, however the rows are cut into batches."""
+    rest: list[pa.RecordBatch] = []
+    for batch in (whole.slice(i, RUN_ROWS) for whole in batches for i in range(0, whole.num_rows, RUN_ROWS)):
+        batch = pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()[0] if rest else batch
+        rest = []
+        for first, offsets, data in text_slices(batch.column("text"), most):
+            rows = batch.slice(first, len(offsets) - 1)
+            if first + rows.num_rows < batch.num_rows:
+                yield rows, offsets, data
+            else:  # the next batch may have more rows for it
+                rest = [rows]
+    for rows in rest:
+        for _, offsets, data in text_slices(rows.column("text"), most):
+            yield rows, offsets, data
+
+
+def _cutter(pieces: Pieces):
+    """Cuts texts into words: (dictionary-encoded words of all texts, number of words of each)."""
+    word_pattern(pieces)  # its cuts are among those that no pair allows
+    inside = inner_pairs(pieces)
+    letters = {c: i for i, c in enumerate(sorted(set("".join(inside))), 1)}
+    joined = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+    for x, y in inside:
+        joined[letters[x], letters[y]] = True
+
+    def ready():
+        # made in the task, so that it doesn't travel with the function
+        kinds = np.zeros(0x110000, np.int32)
+        for c, i in letters.items():
+            kinds[ord(c)] = i
+        kinds[ord(" ")] = kinds[ord(SPACE)]
+
+        def cut(offsets: np.ndarray, data: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+            filled = offsets[:-1] < offsets[1:]
+            at = offsets[:-1][filled]
+            data = np.insert(data, at, ord(" "))
+            kind = kinds[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)]
+            new = np.ones(len(kind), bool)
+            new[1:] = ~joined.ravel()[kind[:-1] * len(joined) + kind[1:]]
+            del kind
+            letter = np.flatnonzero((data & 0xC0) != 0x80)
+            text = at + np.arange(len(at))
+            new[np.searchsorted(letter, text)] = True
+            start = letter[new]
+            words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(data))), pa.py_buffer(data))
+            n = np.zeros(len(offsets) - 1, np.int64)
+            n[filled] = np.diff(np.append(np.searchsorted(start, text), len(start)))
+            return words.dictionary_encode(), n
+
+        return cut
+
+    return ready
+
+
 def _dealt(pieces: Pieces, block_words: int, block_bytes: int, words: bool):
-    """The words of each block (block, code, word), or its documents (block, ..., codes).
+    """The words of each block (place, word), or its documents (block, ..., codes).
 
-    Words are numbered by how often the block has them, so that most numbers are short. Both runs cut blocks alike.
+    Words are numbered by how often the block has them, so that most numbers are short; a place is the block and
+    that number. Both runs cut blocks alike.
     """
-    pattern, pairs = word_pattern(pieces), inner_pairs(pieces)
+    ready = _cutter(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, serial, size = TaskContext.get().partitionId(), 0, 0
-        numbers = _Numbers(pairs)
-        held: list[np.ndarray] = []  # the texts of the block that still wait for its numbers
-        rows: list[pa.RecordBatch] = []
-        digests: list[str] = []
+        cut, task, serial, size = ready(), TaskContext.get().partitionId(), 0, 0
+        known, count = pa.array([], pa.large_string()), np.empty(0, np.int64)
+        held: list[tuple[pa.RecordBatch, list[str], np.ndarray, np.ndarray]] = []  # rows of the block that still wait for its numbers
 
         def ended() -> Iterator[pa.RecordBatch]:
-            nonlocal numbers, held, rows, digests, serial, size
-            block = task << 32 | serial
-            flat = np.concatenate(held) if held else np.empty(0, np.uint32)
-            order = np.argsort(-np.bincount(flat, minlength=len(numbers.words)), kind="stable")
+            block = task << SERIAL_BITS | serial
+            if max(task >> TASK_BITS, serial >> SERIAL_BITS, len(known) >> CODE_BITS):
+                raise ValueError("more tasks, blocks or words than a place can number")
+            order = np.argsort(-count, kind="stable")
             if words:
-                ranked = pa.array(list(numbers.words), pa.string()).take(pa.array(order))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), block)), pa.array(np.arange(len(order), dtype=np.int32)), ranked], ["block", "code", "word"])
-            else:
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                done = 0
-                for batch in rows:
-                    part = slice(done, done + batch.num_rows)
-                    done += batch.num_rows
-                    codes = pa.array([pack_numbers(rank[x]) for x in held[part]], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, block)), *batch.columns, codes, pa.array(digests[part], pa.string())], ["block", *batch.schema.names, "codes", "text_sha256"])
-            numbers, held, rows, digests, serial, size = _Numbers(pairs), [], [], [], serial + 1, 0
-
-        for batch in batches:
-            first = 0
-            carried = batch.select([n for n in batch.schema.names if n != "text"])
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                text = text or ""
-                if size and (len(numbers.words) >= block_words or size >= block_bytes):
-                    rows.append(carried.slice(first, i - first))
-                    first = i
-                    yield from ended()
-                found = pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
-                held.append(np.fromiter(chain.from_iterable(map(numbers.__getitem__, found)), np.uint32))
-                digests.append("" if words else hashlib.sha256(text.encode()).hexdigest())
-                size += len(text)
-            rows.append(carried.slice(first))
-        if held:
+                ranked = pc.replace_substring(known.take(pa.array(order)), " ", SPACE).cast(pa.string())
+                place = pa.array((block << CODE_BITS) + np.arange(len(order)))
+                for i in range(0, len(order), SENT_WORDS):
+                    yield pa.RecordBatch.from_arrays([place[i : i + SENT_WORDS], ranked[i : i + SENT_WORDS]], ["place", "word"])
+                return
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            for rows, digests, codes, n in held:
+                packed, sizes = pack_numbers(rank[codes])
+                ends = _bounds(sizes, np.append(0, np.cumsum(n)))
+                binary = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), *rows.columns, binary, pa.array(digests, pa.string())], ["block", *rows.schema.names, "codes", "text_sha256"])
+
+        # runs are short beside a block, and their words few
+        for rows, offsets, data in _runs(batches, min(RUN_BYTES, block_bytes, 4 * block_words)):
+            found, n = cut(offsets, data)
+            number = pc.index_in(found.dictionary, value_set=known)
+            new = number.is_null().to_numpy(zero_copy_only=False)
+            number = number.fill_null(0).to_numpy().astype(np.int32)
+            number[new] = len(known) + np.arange(int(new.sum()), dtype=np.int32)
+            known = pa.concat_arrays([known, found.dictionary.filter(pa.array(new))])
+            codes = number[found.indices.to_numpy()]
+            count = np.append(count, np.zeros(len(known) - len(count), np.int64))
+            count[number] += np.bincount(found.indices.to_numpy(), minlength=len(number))
+            if not words:
+                digests = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                held.append((rows.select([c for c in rows.schema.names if c != "text"]), digests, codes, n))
+            size += len(data)
+            if len(known) >= block_words or size >= block_bytes:
+                yield from ended()
+                known, count, held, serial, size = known.slice(0, 0), count[:0], [], serial + 1, 0
+        if held or len(known):
             yield from ended()
 
     return run
 
 
-def solve_words(words: DataFrame, pieces: Pieces, *key: str) -> DataFrame:
-    """(key columns, path): the best path of each ``word``, as piece ids; unknown characters are -1 - code point.
+def _best_paths(pieces: Pieces):
+    """Best path through each list of edges, many words at a time: all their edges that end after one character, after two and so on."""
+    scores = np.append(np.array(pieces.score, np.float64), pieces.unknown_score)
+
+    def run(edges: pa.Array) -> pa.Array:
+        edges = edges.combine_chunks() if isinstance(edges, pa.ChunkedArray) else edges
+        count = np.diff(edges.offsets.to_numpy()).astype(np.int64)
+        edge, word = edges.flatten().to_numpy(), np.repeat(np.arange(len(count)), count)
+        order = np.lexsort((edge, word, edge >> END_SHIFT))  # by end, word, size, id
+        edge, word = edge[order], word[order]
+        end, size, ids = edge >> END_SHIFT, edge >> ID_BITS & (1 << SIZE_BITS) - 1, (edge & (1 << ID_BITS) - 1) - UNKNOWN_IDS
+        score = scores[np.where(ids < 0, len(scores) - 1, ids)]
+        length = np.zeros(len(count), np.int64)
+        length[word] = end  # the last of a word's edges has its largest end
+        start = np.cumsum(length + 1) - length - 1
+        node = start[word] + end
+        best, back = np.zeros(int((length + 1).sum())), np.zeros(int((length + 1).sum()), np.int64)
+        head = np.flatnonzero(np.diff(node, prepend=-1))  # the first edge into each node
+        bounds = np.searchsorted(end[head], np.arange(1, int(length.max(initial=0)) + 2))
+        last = np.append(head, len(edge))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            x, y = last[a], last[b]
+            ways, heads = best[node[x:y] - size[x:y]] + score[x:y], head[a:b] - x
+            most = np.maximum.reduceat(ways, heads)
+            first = np.where(ways == np.repeat(most, np.diff(last[a : b + 1])), np.arange(x, y), len(edge))
+            best[node[head[a:b]]] = most
+            back[node[head[a:b]]] = np.minimum.reduceat(first, heads)
+        at, which, steps = length.copy(), np.arange(len(count)), []
+        which = which[at > 0]
+        while len(which):
+            taken = back[start[which] + at[which]]
+            steps.append((which, ids[taken]))
+            at[which] -= size[taken]
+            which = which[at[which] > 0]
+        n = np.bincount(np.concatenate([w for w, _ in steps]), minlength=len(count)) if steps else np.zeros(len(count), np.int64)
+        ends = np.cumsum(n)
+        out = np.empty(int(n.sum()), np.int64)
+        for i, (w, x) in enumerate(steps):
+            out[ends[w] - 1 - i] = x
+        packed, sizes = pack_numbers(np.where(out < 0, -2 * out - 1, 2 * out))
+        return pa.BinaryArray.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(_bounds(sizes, np.append(0, ends))), pa.py_buffer(packed)])
+
+    return run
 
-    A path's score is the sum of its pieces' scores; of equal scores the earlier-starting last piece wins. The state of the fold is
-    the best score of the last few positions and the pieces chosen so far, so a long word needs no table of all positions at each step.
+
+def solve_words(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(places, path) of rows (word, place, places): the best path of each ``word``, its piece ids as packed numbers, unknown characters as -1 - code point.
+
+    A path's score is the sum of its pieces' scores; of equal scores the shorter last piece wins, then the smaller id.
+    ``place`` tells the rows apart. Packed numbers are doubled, and odd for negative ones.
     """
     spark = words.sparkSession
     longest = pieces.longest
-    usable = [(t, i, s) for i, (t, s, k) in enumerate(zip(pieces.text, pieces.score, pieces.kind, strict=True)) if k in (NORMAL, USER_DEFINED)]
-    table = spark.createDataFrame(usable, "sub string, id int, score double")
+    if longest >> SIZE_BITS or len(pieces.text) > UNKNOWN_IDS:
+        raise ValueError("the model has longer or more pieces than an edge can hold")
+    usable = [(t, i) for i, (t, k) in enumerate(zip(pieces.text, pieces.kind, strict=True)) if k in (NORMAL, USER_DEFINED)]
+    table = spark.createDataFrame(usable, "sub string, id int")
     start_at = F.posexplode(F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda i: F.substring("word", i, F.lit(longest)))).alias("start", "ahead")
-    starts = words.where("word <> ''").select(*key, start_at)
-    sized = starts.select(*key, "start", "ahead", F.explode(F.sequence(F.lit(1), F.char_length("ahead"))).alias("size"))
-    subs = sized.select(*key, "start", "size", F.substring("ahead", F.lit(1), F.col("size")).alias("sub"))
+    key = ["word", "place"]
+    starts = words.where("word <> ''").select(*key, "places", start_at)
+    sized = starts.select(*key, "places", "start", "ahead", F.explode(F.sequence(F.lit(1), F.char_length("ahead"))).alias("size"))
+    subs = sized.select(*key, "places", "start", "size", F.substring("ahead", F.lit(1), F.col("size")).alias("sub"))
     # the table is the model's vocabulary, some ten thousand rows whatever the data
     edges = subs.join(F.broadcast(table), "sub", "left").where("id is not null or size = 1")
-    edges = edges.select(
-        *key,
-        F.struct(
-            (F.col("start") + F.col("size")).alias("end"),
-            F.col("size").alias("size"),
-            F.coalesce("id", -1 - F.ascii("sub")).alias("id"),
-            F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"),
-        ).alias("edge"),
-    )
-    lattice = edges.groupBy(*key).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-
-    step = "struct(CAST(edge.size AS INT) AS size, CAST(edge.id AS INT) AS id, element_at(acc.recent, -edge.size) + edge.score AS score)"
-    # the candidate for the current end is kept aside and joins the state when the next end begins
-    fold = f"""aggregate(edges,
-      named_struct('end', 0, 'recent', array(CAST(0 AS DOUBLE)), 'back', CAST(array() AS array<struct<size:int,id:int>>),
-        'best', CAST(NULL AS struct<size:int,id:int,score:double>)),
-      (state, edge) -> transform(
-        array(if(edge.end = state.end OR state.best IS NULL,
-          named_struct('end', edge.end, 'recent', state.recent, 'back', state.back, 'best', state.best),
-          named_struct('end', edge.end,
-            'recent', slice(concat(state.recent, array(state.best.score)), -least(size(state.recent) + 1, {longest}), {longest}),
-            'back', concat(state.back, array(named_struct('size', state.best.size, 'id', state.best.id))),
-            'best', CAST(NULL AS struct<size:int,id:int,score:double>)))),
-        acc -> transform(array({step}), way -> named_struct('end', acc.end, 'recent', acc.recent, 'back', acc.back,
-          'best', if(acc.best IS NULL OR way.score > acc.best.score, way, acc.best)))[0])[0],
-      state -> concat(state.back, array(named_struct('size', state.best.size, 'id', state.best.id))))"""
-    walk = """aggregate(sequence(1, size(back)), named_struct('at', size(back), 'path', CAST(array() AS array<int>)),
-      (state, i) -> if(state.at <= 0, state, named_struct('at', state.at - element_at(back, state.at).size,
-        'path', concat(state.path, array(element_at(back, state.at).id)))),
-      state -> reverse(state.path))"""
-    return lattice.select(*key, F.expr(fold).alias("back")).select(*key, F.expr(walk).alias("path"))
+    # an edge is one number: its end, size and piece
+    end, piece = (F.col("start") + F.col("size")).cast("long"), F.coalesce("id", -1 - F.ascii("sub")) + F.lit(UNKNOWN_IDS)
+    # the places go with a word's first edge only
+    first = F.when((F.col("start") == 0) & (F.col("size") == 1), F.col("places")).alias("places")
+    edges = edges.select(*key, first, (F.shiftleft(end, END_SHIFT) + F.shiftleft(F.col("size").cast("long"), ID_BITS) + piece).alias("edge"))
+    lattice = edges.groupBy(*key).agg(F.first("places", ignorenulls=True).alias("places"), F.collect_list("edge").alias("edges"))
+    return lattice.select("places", F.arrow_udf(_best_paths(pieces), "binary")("edges").alias("path"))
 
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -259,13 +353,14 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _assembled(pieces: Pieces, carried: list[str]):
     """Piece ids of the documents of one block from the paths of its words."""
     byte_ids, unknown = pieces.byte_ids(), pieces.unknown_id
+    names = [*carried, "text_sha256", "ids"]
 
     def spelled(i: int) -> list[int]:
         return [byte_ids[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")] if byte_ids else [unknown]
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        paths = words.sort_by("code").column("path").combine_chunks()
-        ids, sizes = paths.flatten().to_numpy().astype(np.int64), np.diff(paths.offsets.to_numpy()).astype(np.int64)
+        ids, begins = _unpacked(words.sort_by("place").column("path").combine_chunks())
+        ids, sizes = np.where(ids & 1, -(ids + 1 >> 1), ids >> 1), np.diff(begins)
         if (ids < 0).any():
             each = {int(i): spelled(int(i)) for i in np.unique(ids[ids < 0])}
             more = np.ones(len(ids), np.int64)
@@ -275,11 +370,14 @@ def _assembled(pieces: Pieces, carried: list[str]):
             out[np.repeat(ids < 0, more)] = [b for i in ids[ids < 0].tolist() for b in each[i]]
             ids, sizes = out, np.bincount(owner, more, len(sizes)).astype(np.int64)
         starts = np.cumsum(sizes) - sizes
-        lists = []
-        for codes in docs.column("codes").to_pylist():
-            at = unpack_numbers(codes)
-            lists.append(ids[_spans(starts[at], sizes[at])].astype(np.int32))
-        return pa.Table.from_arrays([*(docs.column(c) for c in carried), docs.column("text_sha256"), pa.array(lists, pa.list_(pa.int32()))], [*carried, "text_sha256", "ids"])
+        out = []
+        docs = docs.combine_chunks()
+        for batch in docs.to_batches(CODED_ROWS):
+            at, n = _unpacked(batch.column("codes"))
+            ends = _bounds(sizes[at], n)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[_spans(starts[at], sizes[at])].astype(np.int32)))
+            out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), batch.column("text_sha256"), lists], names))
+        return pa.Table.from_batches(out, pa.schema([*(docs.schema.field(c) for c in carried), pa.field("text_sha256", pa.string()), pa.field("ids", pa.list_(pa.int32()))]))
 
     return run
 
@@ -296,15 +394,14 @@ def encode(docs: DataFrame, pieces: Pieces, block_words: int = BLOCK_WORDS, bloc
     carried = [c for c in docs.columns if c != "text"]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
     # both runs read the same rows in the same order, so a lost task cuts its blocks as before
-    words = docs.select("text").mapInArrow(_dealt(pieces, block_words, block_bytes, True), "block long, code int, word string")
+    words = docs.select("text").mapInArrow(_dealt(pieces, block_words, block_bytes, True), "place long, word string")
     coded = docs.mapInArrow(_dealt(pieces, block_words, block_bytes, False), f"block long, {fields}codes binary, text_sha256 string")
-    # a word makes some twenty edges: many tasks, so that each sorts its edges in memory; lattices and paths stay where their words are
+    # a word makes some twenty edges: many tasks, so that each sorts its edges in memory; lattices stay where their words are
     tasks = SOLVING_TASKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = words.repartition(tasks, "word")
-    # a word is known by its least place, so both uses of the words need the same columns and share their shuffle
-    each = placed.groupBy("word").agg(F.min(F.struct("block", "code")).alias("place"))
-    solved = solve_words(each, pieces, "word", "place").select("word", "path")
-    paths = placed.join(solved.hint("merge"), "word").select("block", "code", "path")
+    sharing = F.shiftright("place", SERIAL_BITS + CODE_BITS + SHARING_BITS)
+    each = words.repartition(tasks, "word").groupBy("word", sharing.alias("sharing")).agg(F.collect_list("place").alias("places"))
+    solved = solve_words(each.select("word", F.col("places")[0].alias("place"), "places"), pieces)
+    paths = solved.select(F.explode("places").alias("place"), "path").select(F.shiftright("place", CODE_BITS).alias("block"), "place", "path")
     return coded.groupBy("block").cogroup(paths.groupBy("block")).applyInArrow(_assembled(pieces, carried), f"{fields}text_sha256 string, ids array<int>")
 
 
