@@ -264,7 +264,7 @@ def _dealt(pieces: Pieces, block_words: int, block_bytes: int, words: bool):
             size += len(data)
             if len(known) >= block_words or size >= block_bytes:
                 yield from ended()
-                known, count, held, serial, size = known.slice(0, 0), count[:0], [], serial + 1, 0
+                known, count, held, serial, size = pa.array([], pa.large_string()), np.empty(0, np.int64), [], serial + 1, 0
         if held or len(known):
             yield from ended()
 
@@ -417,7 +417,8 @@ def _decoded(pieces: Pieces):
     sizes, data = np.array([len(r) for r in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # a few rows at a time: a batch's texts as strings would be most of a worker's memory
+        for batch in (whole.slice(i, CODED_ROWS) for whole in batches for i in range(0, whole.num_rows, CODED_ROWS)):
             ids = batch.column("ids")
             flat, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
             texts = [decode_ids(flat[a:b], sizes, data).decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
