@@ -1,7 +1,8 @@
 """Small helpers that several operators of this package share."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +11,45 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task looks at together in numpy; a longer text is looked at alone.
 PIECE_BYTES = 1 << 21
+#: Rows of a batch that a worker looks at, and sends on, together.
+TAKEN_ROWS = 1024
 #: Odd, so that its powers have inverses modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 
 
+def give_back() -> None:
+    """Memory that is free in this process goes back to the system.
+
+    Allocators keep it for later, but workers live on from task to task and stage to stage: what each held at its most
+    would add up over all of an executor's workers, also those that are idle.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # only glibc has it
+        pass
+
+
+def sparing(run: Callable) -> Callable:
+    """``run``, a function of Arrow batches, on a few rows of a batch at a time, with memory given back after each batch.
+
+    It gets the same rows in the same order, but none of empty batches.
+    """
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, TAKEN_ROWS):
+                yield batch.slice(first, TAKEN_ROWS)
+            del batch
+            give_back()
+
+    def spared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(few(batches))
+        give_back()
+
+    return spared
+
+
 def text_slices(column: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, offsets, bytes) of runs of rows with about ``most`` bytes each; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -88,14 +124,18 @@ class _Kept(list):
         return _Kept, ()
 
 
+#: Powers that are kept at least.
+LEAST_POWERS = 1 << 18
 _kept_powers: list[np.ndarray] = _Kept()
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if n > PIECE_BYTES:
         return _series(BASE, n), _series(pow(BASE, -1, 1 << 64), n + 1)
-    if not _kept_powers:
-        _kept_powers.extend((_series(BASE, PIECE_BYTES), _series(pow(BASE, -1, 1 << 64), PIECE_BYTES + 1)))
+    if not _kept_powers or len(_kept_powers[0]) < n:
+        # no more than the operator's slices ask for: they are sixteen bytes a byte of text
+        most = max(LEAST_POWERS, 1 << (n - 1).bit_length())
+        _kept_powers[:] = _series(BASE, most), _series(pow(BASE, -1, 1 << 64), most + 1)
     return _kept_powers[0][:n], _kept_powers[1][: n + 1]
 
 

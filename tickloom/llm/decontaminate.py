@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Words, alphanumeric, content_key, lower_ascii, mixed, spare, text_slices
+from tickloom.llm.common import Words, alphanumeric, content_key, lower_ascii, mixed, spare, sparing, text_slices
 from tickloom.sources.session import settle
 
 WINDOW = 10
@@ -137,15 +137,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """
     ids = docs.schema["doc_id"].dataType.simpleString()
     item_id = items.schema["item_id"].dataType.simpleString()
-    known = settle(items.select("item_id", "text").mapInArrow(_item_windows(window), f"item_id {item_id}, win string, m int, fp long"), "item-windows")
+    known = settle(items.select("item_id", "text").mapInArrow(sparing(_item_windows(window)), f"item_id {item_id}, win string, m int, fp long"), "item-windows")
     lengths = tuple(sorted(r[0] for r in known.select("m").distinct().collect()))  # at most ``window`` numbers
     prints = settle(known.select("m", "fp").distinct(), "item-prints")
     keyed = docs.select("doc_id", "text", content_key(docs))
-    found = keyed.mapInArrow(_winnowed(lengths), f"doc_id {ids}, _th long, hit long, m int, fp long")
+    found = keyed.mapInArrow(sparing(_winnowed(lengths)), f"doc_id {ids}, _th long, hit long, m int, fp long")
     hits = found.join(prints, ["m", "fp"], "left_semi").groupBy("doc_id", "_th").agg(F.collect_set("hit").alias("hits"))
     hits = hits.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_t"), "hits")
     met = keyed.join(hits, keyed["doc_id"].eqNullSafe(hits["_id"]) & (keyed["_th"] == hits["_t"]), "left")
-    met = settle(met.select("doc_id", "_th", "text", "hits").mapInArrow(_extended, f"doc_id {ids}, _th long, n_words long, starts array<long>, wins array<string>"), "windows-around-hits")
+    met = settle(met.select("doc_id", "_th", "text", "hits").mapInArrow(sparing(_extended), f"doc_id {ids}, _th long, n_words long, starts array<long>, wins array<string>"), "windows-around-hits")
 
     windows = settle(known.select("win").distinct(), "distinct-windows")
     around = met.where(F.size("wins") > 0).select("doc_id", "_th", F.explode(F.arrays_zip("starts", "wins")).alias("w")).select("doc_id", "_th", F.col("w.starts").alias("at"), F.col("w.wins").alias("win"))

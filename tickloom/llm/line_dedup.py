@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import spare
+from tickloom.llm.common import spare, sparing
 from tickloom.sources.session import settle
 
 LEAST_CHARS = 40
@@ -74,7 +74,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     if no row with an id holds it. Other columns pass unchanged (but for ones named like the two results), an empty table gives an empty table.
     """
     ids = docs.schema["doc_id"].dataType.simpleString()
-    keys = docs.select("doc_id", "text").mapInArrow(_hashed(least_chars), f"doc_id {ids}, key binary")
+    keys = docs.select("doc_id", "text").mapInArrow(sparing(_hashed(least_chars)), f"doc_id {ids}, key binary")
     counted = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("stays"))
     shared = settle(counted.where(F.col("n") >= least_docs).select("key", "stays"), "shared-lines")
     hits = keys.join(shared, "key").where(~F.col("doc_id").eqNullSafe(F.col("stays")))
@@ -83,4 +83,4 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops[to]), "left").drop(to)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("text", "_n_lines", "_n_dropped")]
     schema = ", ".join([*fields, "text string", "_n_lines long", "_n_dropped long"])
-    return joined.mapInArrow(_rebuilt(least_chars, drop), schema)
+    return joined.mapInArrow(sparing(_rebuilt(least_chars, drop)), schema)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import text_slices
+from tickloom.llm.common import give_back, sparing, text_slices
 
 SPACE = "▁"
 #: A block ends when it has so many different words, or so many bytes of text.
@@ -313,7 +313,12 @@ def _best_paths(pieces: Pieces):
         packed, sizes = pack_numbers(np.where(out < 0, -2 * out - 1, 2 * out))
         return pa.BinaryArray.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(_bounds(sizes, np.append(0, ends))), pa.py_buffer(packed)])
 
-    return run
+    def spared(edges: pa.Array) -> pa.Array:
+        paths = run(edges)
+        give_back()
+        return paths
+
+    return spared
 
 
 def solve_words(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -379,7 +384,12 @@ def _assembled(pieces: Pieces, carried: list[str]):
             out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), batch.column("text_sha256"), lists], names))
         return pa.Table.from_batches(out, pa.schema([*(docs.schema.field(c) for c in carried), pa.field("text_sha256", pa.string()), pa.field("ids", pa.list_(pa.int32()))]))
 
-    return run
+    def spared(docs: pa.Table, words: pa.Table) -> pa.Table:
+        coded = run(docs, words)
+        give_back()
+        return coded
+
+    return spared
 
 
 def encode(docs: DataFrame, pieces: Pieces, block_words: int = BLOCK_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -394,8 +404,8 @@ def encode(docs: DataFrame, pieces: Pieces, block_words: int = BLOCK_WORDS, bloc
     carried = [c for c in docs.columns if c != "text"]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
     # both runs read the same rows in the same order, so a lost task cuts its blocks as before
-    words = docs.select("text").mapInArrow(_dealt(pieces, block_words, block_bytes, True), "place long, word string")
-    coded = docs.mapInArrow(_dealt(pieces, block_words, block_bytes, False), f"block long, {fields}codes binary, text_sha256 string")
+    words = docs.select("text").mapInArrow(sparing(_dealt(pieces, block_words, block_bytes, True)), "place long, word string")
+    coded = docs.mapInArrow(sparing(_dealt(pieces, block_words, block_bytes, False)), f"block long, {fields}codes binary, text_sha256 string")
     # a word makes some twenty edges: many tasks, so that each sorts its edges in memory; lattices stay where their words are
     tasks = SOLVING_TASKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sharing = F.shiftright("place", SERIAL_BITS + CODE_BITS + SHARING_BITS)
@@ -435,7 +445,7 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     byte pieces doesn't know.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(_decoded(pieces), f"{fields}, text string")
+    return encoded.mapInArrow(sparing(_decoded(pieces)), f"{fields}, text string")
 
 
 def default_model() -> str:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import content_key, spare
+from tickloom.llm.common import content_key, spare, sparing
 from tickloom.llm.components import components
 from tickloom.sources.session import settle
 
@@ -112,7 +112,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     an id. Repeated rows get equal results, other columns are ignored, an empty table gives none.
     """
     ids = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", content_key(docs), "text").mapInArrow(_fingerprints(shingle), f"doc_id {ids}, _th long, fp long")
+    rows = docs.select("doc_id", content_key(docs), "text").mapInArrow(sparing(_fingerprints(shingle)), f"doc_id {ids}, _th long, fp long")
     rows = settle(rows, "simhash")
     nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")

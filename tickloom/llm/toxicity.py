@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Words, alphanumeric, id_part, lower_ascii, mixed, text_slices
+from tickloom.llm.common import Words, alphanumeric, id_part, lower_ascii, mixed, sparing, text_slices
 
 THRESHOLD = 0.3
 #: Bytes of text that a task looks at together; the features of a byte take some 50 bytes.
@@ -73,10 +73,10 @@ def _features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(texts), np.concatenate(hashes)
 
 
-def _of_texts(texts: list[str]) -> list[np.ndarray]:
+def _of_texts(texts: list[str] | pa.Array) -> list[np.ndarray]:
     """Distinct feature hashes of each text."""
     out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(texts)
-    for first, offsets, data in text_slices(pa.array(texts, pa.string()), SLICE_BYTES):
+    for first, offsets, data in text_slices(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), SLICE_BYTES):
         at, hashes = _features(offsets, data)
         order = np.argsort(at, kind="stable")
         cuts = np.searchsorted(at[order], np.arange(len(offsets)))
@@ -109,7 +109,7 @@ def _counted(among: np.ndarray | None = None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = _of_texts([t or "" for t in batch.column("text").to_pylist()])
+            seen = _of_texts(batch.column("text"))
             if among is not None:
                 seen = [np.intersect1d(found, among, assume_unique=True) for found in seen]
             feature, n = np.unique(np.concatenate([np.empty(0, np.uint64), *seen]), return_counts=True)
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     n, bad = totals[0], totals[1] or 0
 
     def counts(label: int, among: np.ndarray | None, least: float) -> dict[int, int]:
-        found = rows.where(F.col("toxic") == label).select("text").mapInArrow(_counted(among), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+        found = rows.where(F.col("toxic") == label).select("text").mapInArrow(sparing(_counted(among)), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
         return dict(map(tuple, found.where(F.col("n") >= least).collect()))
 
     # no text has many features, so few can be in LEAST_SHARE of the toxic texts, however many there are
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     chi2 = n * (a * (n - bad) - b * bad) ** 2 / np.maximum(float(bad) * (n - bad) * (a + b) * (n - a - b), 1e-9)
     best = np.lexsort((feature, -chi2))[:FEATURES]
     chosen = np.unique(np.concatenate([feature[best[chi2[best] >= LEAST_CHI2]], group_features()]))
-    kept = rows.mapInArrow(_reduced(chosen), "toxic int, own array<int>, copies array<array<int>>").collect()  # sample_rows at most
+    kept = rows.mapInArrow(sparing(_reduced(chosen)), "toxic int, own array<int>, copies array<array<int>>").collect()  # sample_rows at most
     kept.sort(key=lambda r: (r[0], r[1]))  # so that sums don't depend on the order of tasks
     weights, bias = _fit(np.array([r[0] for r in kept], float), [r[1] for r in kept], [r[2] for r in kept], len(chosen))
     return Model(chosen, weights, bias)
@@ -234,7 +234,7 @@ def score(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
     """
     taken = docs.select("doc_id", *carried, "text")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema if f.name != "text"]
-    return taken.mapInArrow(_scored(model), ", ".join([*fields, "score double"]))
+    return taken.mapInArrow(sparing(_scored(model)), ", ".join([*fields, "score double"]))
 
 
 def held_out(parts: int = 4, part: int = 2):
@@ -256,4 +256,4 @@ def not_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
             values = next(scored(iter([batch.select(["text"])]))).column("score")
             yield batch.filter(pa.array(values.to_numpy() < threshold))
 
-    return docs.mapInArrow(run, ", ".join(fields))
+    return docs.mapInArrow(sparing(run), ", ".join(fields))
